@@ -71,20 +71,21 @@ def map_text(
     df: DataFrame,
     text_col: str,
     fields: Sequence[T.StructField],
-    make: Callable[[], Callable[[np.ndarray, np.ndarray], dict]],
+    make: Callable[[], Callable[..., dict]],
     keep: Sequence[str] | None = None,
+    also: Sequence[str] = (),
 ) -> DataFrame:
     """df's columns `keep` (default: all) and `fields` computed from the text of each row.
 
-    make() runs once in each worker and returns f(offsets, bytes) -> {field name: one value a row}. An input column
-    with the name of a computed field is replaced. Rows are neither moved nor reordered: no shuffle.
+    make() runs once in each worker and returns f(offsets, bytes, *columns of `also`) -> {field name: one value a row}.
+    An input column with the name of a computed field is replaced. Rows are neither moved nor reordered: no shuffle.
     """
     made = [f.name for f in fields]
     kept = [c for c in (df.columns if keep is None else keep) if c not in made]
     types = {f.name: f.dataType for f in df.schema.fields}
     schema = T.StructType([T.StructField(c, types[c]) for c in kept] + list(fields))
     source = "text of the map"  # a name of its own, as the text column may be kept, too
-    df = df.select(*[df[f"`{c}`"] for c in kept], df[f"`{text_col}`"].cast("string").alias(source))
+    df = df.select(*[df[f"`{c}`"] for c in kept], df[f"`{text_col}`"].cast("string").alias(source), *[df[f"`{c}`"].alias(f"{source} {k}") for k, c in enumerate(also)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
@@ -94,7 +95,7 @@ def map_text(
             offsets, data = utf8(batch.column(len(kept)))
             for i, j in pieces(offsets):
                 at = offsets[i : j + 1]
-                got = work(at - at[0], data[at[0] : at[-1]])
+                got = work(at - at[0], data[at[0] : at[-1]], *[batch.column(len(kept) + 1 + k).slice(i, j - i) for k in range(len(also))])
                 columns = [batch.column(k).slice(i, j - i) for k in range(len(kept))]
                 columns = [c if c.type == arrow.field(k).type else c.cast(arrow.field(k).type) for k, c in enumerate(columns)]
                 yield pa.RecordBatch.from_arrays(columns + [column_array(got[f.name], f.dataType) for f in fields], schema=arrow)
