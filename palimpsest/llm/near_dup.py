@@ -5,10 +5,12 @@ keeps the number of leading zeros of the smallest value and the next MANTISSA bi
 "HyperMinHash: MinHash in LogLog space"). Bands of registers give candidate pairs, an estimate of the Jaccard index
 corrected for chance collisions of registers discards the hopeless, and the rest are verified on the full sets.
 
-How groups are kept from going quadratic: equal sets become one node first; each band bucket then proposes only the
-pairs (member, its smallest member), so a bucket costs as many rows as it has members. After these are verified and
-joined into components, only buckets that still hold several components propose pairs, and only pairs of different
-components: all others are linked already. No pair of a bucket that could join two components is left out.
+How groups are kept from going quadratic: equal sets become one node first. In each of ROUNDS rounds a band bucket
+proposes only the pairs of its members with one hub, another one each round, and only where they are in different
+components so far: a bucket costs as many rows as it has members. What is still open then, buckets of several
+components, is compared in full, all members against those outside the bucket's largest component, by their registers
+and in blocks of at most BLOCK rows a side; only pairs whose estimate leaves the threshold within reach become rows.
+So no pair of a bucket that could join two components is left out.
 
 Edge cases: a text that is null or without words is linked with nothing; a row whose id is null takes no part and has
 a null component; rows that share an id are compared each by its own text; an empty table gives an empty result.
@@ -29,12 +31,14 @@ from .components import connected
 from .frames import cut, map_text
 from .tokens import SPACED_LOWER, U, mix, shingle_sets, words
 
-BUCKET_BITS = 7
+BUCKET_BITS = 8
 BUCKETS = 1 << BUCKET_BITS
 MANTISSA = 10
 BANDS, ROWS = 36, 5
 #: Standard errors under the threshold at which an estimate still goes to verification.
-MARGIN = 5.0
+MARGIN = 4.5
+ROUNDS = 4
+BLOCK = 1024
 
 _EDGES = (np.arange(BUCKETS + 1, dtype=object) << (64 - BUCKET_BITS))[:BUCKETS].astype(np.uint64)
 _RNG = np.random.default_rng(5)
@@ -136,26 +140,88 @@ def _bands(nodes: DataFrame, least: int) -> DataFrame:
     return nodes.where(F.col("n") >= least).select("id", "registers").mapInArrow(run, schema)
 
 
+def _within_reach(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    got, used = estimate(x, y, n, m)
+    return (got >= threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / used) - 1 / used) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1)
+
+
+def _registers_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BUCKETS)
+
+
 def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """Pairs a < b whose sizes and estimated index leave the threshold within reach."""
     sig = nodes.select("id", "n", "registers")
-    both = pairs.join(sig.toDF("a", "na", "ra"), "a").join(sig.toDF("b", "nb", "rb"), "b").where(F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1)
+    both = pairs.join(sig.toDF("a", "na", "ra"), "a").join(sig.toDF("b", "nb", "rb"), "b").select("a", "b", "na", "nb", "ra", "rb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
+            if batch.num_rows:
+                n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+                ok = pa.array(_within_reach(_registers_of(batch.column(4)), _registers_of(batch.column(5)), n, m, threshold))
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _across(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs a < b within reach of all members of a band in different components.
+
+    members: band, id, component. A band's members outside its largest component are held against all its members.
+    """
+    sizes = members.groupBy("band", "component").agg(F.count("*").alias("size"))
+    bands = sizes.groupBy("band").agg(F.count("*").alias("components"), F.sum("size").alias("members"), F.max(F.struct("size", "component")).alias("largest")).where("components > 1")
+    blocks = lambda rows: F.ceil(rows / F.lit(BLOCK)).cast("int")
+    bands = bands.select("band", F.col("largest.component").alias("main"), blocks(F.col("members")).alias("nd"), blocks(F.col("members") - F.col("largest.size")).alias("nq"))
+    rows = members.join(bands, "band").join(nodes.select("id", "n", "registers"), "id")
+    salt = lambda of, k: F.pmod(F.xxhash64("id", F.lit(k)), of).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
+    data = rows.withColumn("d", salt(F.col("nd"), 1)).withColumn("q", each(F.col("nq"))).withColumn("asks", F.lit(False))
+    asks = rows.where("component <> main").withColumn("q", salt(F.col("nq"), 2)).withColumn("d", each(F.col("nd"))).withColumn("asks", F.lit(True))
+    columns = ["band", "q", "d", "asks", "id", "component", "n", "registers"]
+    dealt = data.select(columns).unionByName(asks.select(columns)).repartition("band", "q", "d").sortWithinPartitions("band", "q", "d", "asks", "id")
+
+    def compare(group: pa.Table) -> tuple[list, list]:
+        asks = group.column("asks").to_numpy()
+        ids, comp, n = (group.column(k).to_numpy() for k in ("id", "component", "n"))
+        regs = _registers_of(group.column("registers"))
+        of = np.flatnonzero(~asks)
+        a, b = [], []
+        for k in np.flatnonzero(asks):
+            ok = of[comp[of] != comp[k]]
+            ok = ok[_within_reach(regs[ok], regs[k][None, :], n[ok], n[k], threshold)]
+            a += np.minimum(ids[ok], ids[k]).tolist()
+            b += np.maximum(ids[ok], ids[k]).tolist()
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the group that may go on in the next batch
+        for batch in _with_end(batches):
+            whole = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if whole is None or not whole.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, BUCKETS) for k in ("ra", "rb"))
-            n, m = (batch.column(k).to_numpy() for k in ("na", "nb"))
-            got, used = estimate(x, y, n, m)
-            ok = got >= threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / used) - 1 / used
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok)), batch.column("b").filter(pa.array(ok))], names=["a", "b"])
+            key = np.column_stack([whole.column(k).to_numpy() for k in ("band", "q", "d")])
+            ends = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            cuts = np.concatenate(([0], ends, [len(key)]))
+            last = len(cuts) - 1 if batch is None else len(cuts) - 2
+            a, b = [], []
+            for i, j in zip(cuts[:last].tolist(), cuts[1 : last + 1].tolist()):
+                x, y = compare(whole.slice(i, j - i))
+                a += x
+                b += y
+            held = None if batch is None else whole.slice(int(cuts[last]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union."""
+def _with_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def _shingles(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """id, full shingle set of the documents in ids."""
 
     def make():
         def work(offsets, data):
@@ -163,10 +229,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shi
 
         return work
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("needed")).distinct()
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    texts = texts.join(needed, texts.doc_id == needed.needed, "left_semi")
-    sets = cut(map_text(texts, "text", [T.StructField("shingles", T.BinaryType())], make, keep=["doc_id"]))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(ids, "id", "left_semi")
+    return map_text(texts, "text", [T.StructField("shingles", T.BinaryType())], make, keep=["id"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets have 100 * intersection >= percent * union."""
     both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +245,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, shi
                 both = np.sort(np.concatenate((x, y)))
                 common = int((both[1:] == both[:-1]).sum())
                 ok.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())), batch.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok, pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long").distinct()
 
@@ -193,21 +261,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = cut(rows.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")))
 
     bands = _bands(nodes, least)
-    hubs = bands.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    shared = cut(bands.join(hubs, "band"))  # only members of buckets with company
-    stars = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    tested = cut(_estimated(stars, nodes, threshold))
-    links = cut(_verified(tested, docs, id_col, text_col, shingle, percent))
-    label = connected(links)
-
-    # Buckets that hold more than one component yet: pairs of different components, where not tested before.
-    labelled = shared.join(label, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    left = labelled.join(mixed, "band", "left_semi")
-    cross = left.toDF("band", "a", "ca").join(left.toDF("band", "b", "cb"), "band").where("a < b and ca <> cb").select("a", "b").distinct()
-    cross = cross.join(stars, ["a", "b"], "left_anti")
-    more = cut(_verified(cut(_estimated(cross, nodes, threshold)), docs, id_col, text_col, shingle, percent))
-    label = connected(links.unionByName(more)) if more.take(1) else label
+    company = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
+    shared = cut(bands.join(company, "band"))
+    sets = cut(_shingles(docs, shared.select("id").distinct(), id_col, text_col, shingle))
+
+    links = label = None
+    members = shared.withColumn("component", F.col("id"))
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:
+            hub = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("rank"), "id", "component"))
+            hubs = members.groupBy("band").agg(hub.alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "hub.id", "hub.component").toDF("band", "hub", "hub_component")
+            pairs = members.join(hubs, "band").where("component <> hub_component").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+            pairs = _estimated(pairs, nodes, threshold)
+        else:
+            pairs = _across(members, nodes, threshold)
+        found = _verified(pairs, sets, percent)
+        links = cut(found if links is None else links.unionByName(found))
+        label = connected(links)
+        # Members of bands that hold several components yet.
+        members = shared.join(label, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+        still = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
+        members = cut(members.join(still, "band", "left_semi")) if turn < ROUNDS else members
+        if turn < ROUNDS and not members.take(1):
+            break
 
     component = nodes.select("set_key", "id").join(label, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(component, "set_key", "left")
