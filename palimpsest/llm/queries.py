@@ -11,6 +11,8 @@ from .decontaminate import decontaminate
 from .fm_quality import fit_machine, quality_scores
 from .near_dup import near_duplicates
 from .quality_rules import fit_rules, quality_rules
+from .toxicity import fit_machine as fit_toxicity
+from .toxicity import toxicity_scores
 
 
 def op3_gbt_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +28,11 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op8_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity_scores(docs, fit_toxicity(docs, labels), keep=["doc_id"]).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality_scores(docs, fit_machine(docs, labels), keep=["doc_id"]).select("doc_id", "held_out", "score", "predicted")
@@ -35,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_gbt_rules": op3_gbt_rules,
     "op5_hyperminhash": op5_hyperminhash,
     "op6_winnowing": op6_winnowing,
+    "op8_string_kernel": op8_string_kernel,
     "op9_factorisation": op9_factorisation,
 }
 
