@@ -9,10 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from .frames import table
 from .decontaminate import decontaminate
 from .fm_quality import fit_machine, quality_scores
+from .html_text import extract_text
 from .near_dup import near_duplicates
+from .pii import pseudonymise
 from .quality_rules import fit_rules, quality_rules
 from .toxicity import fit_machine as fit_toxicity
 from .toxicity import toxicity_scores
+from .warc import derivatives, responses
+
+#: Key of the pseudonyms; a deployment passes its own.
+PII_KEY = "palimpsest"
+#: Date of the WARC records: the pages carry none.
+WARC_DATE = "2024-01-01T00:00:00Z"
+
+
+def op2_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
 def op3_gbt_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +32,10 @@ def op3_gbt_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, fit_rules(docs, labels), keep=["doc_id"])
 
 
+def op4_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
@@ -28,6 +44,10 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op7_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(responses(table(spark, sf_dir, "pages"), WARC_DATE), WARC_DATE, keep="page_id").drop("record")
+
+
 def op8_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity_scores(docs, fit_toxicity(docs, labels), keep=["doc_id"]).select("doc_id", "held_out", "score", "predicted")
@@ -39,9 +59,12 @@ def op9_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_feistel": op2_feistel,
     "op3_gbt_rules": op3_gbt_rules,
+    "op4_line_blocks": op4_line_blocks,
     "op5_hyperminhash": op5_hyperminhash,
     "op6_winnowing": op6_winnowing,
+    "op7_derivatives": op7_derivatives,
     "op8_string_kernel": op8_string_kernel,
     "op9_factorisation": op9_factorisation,
 }
