@@ -14,14 +14,14 @@ def crc_mod(id_col: str, k: int) -> Column:
     return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % k
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, where: Column | None = None, rows: int = SAMPLE_ROWS, columns: tuple[str, ...] = ("text",)) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, label: str, where: Column | None = None, rows: int = SAMPLE_ROWS, columns: tuple[str, ...] = ("text",), classes: tuple[int, ...] = (0, 1)) -> DataFrame:
     """doc_id, label and `columns` of at most `rows` labelled documents, one row a doc_id.
 
-    Labels that contradict each other count as the larger; labels that are null, of null ids or other than 0 and 1 are
-    left out, as are rows for which `where` (on doc_id) is not true.
+    Labels that contradict each other count as the larger; labels that are null, of null ids or outside
+    `classes` are left out, as are rows for which `where` (on doc_id) is not true.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-    own = own.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
+    own = own.where(F.col("doc_id").isNotNull() & F.col("label").isin(*classes))
     own = own.where(where) if where is not None else own
     own = own.groupBy("doc_id").agg(F.max("label").alias("label"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)

@@ -57,9 +57,9 @@ def quality_rules(docs: DataFrame, forest: Forest, text_col: str = "text", keep:
     return map_text(docs, text_col, FIELDS, make, keep=keep)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs."""
-    judged = map_text(docs, text_col, [T.StructField("verdict of the rules", T.BooleanType())], _verdict(fit_rules(docs, labels)))
+    judged = map_text(docs, text_col, [T.StructField("verdict of the rules", T.BooleanType())], _verdict(forest))
     return judged.where(F.col("`verdict of the rules`")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

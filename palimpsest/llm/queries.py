@@ -10,9 +10,11 @@ from .frames import table
 from .decontaminate import decontaminate
 from .fm_quality import fit_machine, quality_scores
 from .html_text import extract_text
+from .mixing import fit_domains, mix
 from .near_dup import near_duplicates
 from .pii import pseudonymise
 from .quality_rules import fit_rules, quality_rules
+from .suffix_dedup import remove_repeats
 from .toxicity import fit_machine as fit_toxicity
 from .toxicity import toxicity_scores
 from .warc import derivatives, responses
@@ -23,6 +25,11 @@ PII_KEY = "palimpsest"
 WARC_DATE = "2024-01-01T00:00:00Z"
 
 
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return mix(docs, fit_domains(docs, labels), keep=["doc_id"])
+
+
 def op2_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
@@ -58,7 +65,18 @@ def op9_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, fit_machine(docs, labels), keep=["doc_id"]).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_soft_mixing": op1_soft_mixing,
     "op2_feistel": op2_feistel,
     "op3_gbt_rules": op3_gbt_rules,
     "op4_line_blocks": op4_line_blocks,
@@ -67,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_derivatives": op7_derivatives,
     "op8_string_kernel": op8_string_kernel,
     "op9_factorisation": op9_factorisation,
+    "op10_linear_grouping": op10_linear_grouping,
+    "pipeline": pipeline,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
