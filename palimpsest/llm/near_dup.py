@@ -5,12 +5,13 @@ keeps the number of leading zeros of the smallest value and the next MANTISSA bi
 "HyperMinHash: MinHash in LogLog space"). Bands of registers give candidate pairs, an estimate of the Jaccard index
 corrected for chance collisions of registers discards the hopeless, and the rest are verified on the full sets.
 
-How groups are kept from going quadratic: equal sets become one node first. In each of ROUNDS rounds a band bucket
-proposes only the pairs of its members with one hub, another one each round, and only where they are in different
-components so far: a bucket costs as many rows as it has members. What is still open then, buckets of several
-components, is compared in full, all members against those outside the bucket's largest component, by their registers
-and in blocks of at most BLOCK rows a side; only pairs whose estimate leaves the threshold within reach become rows.
-So no pair of a bucket that could join two components is left out.
+How groups are kept from going quadratic: equal sets become one node first. Then, in three turns, links are verified
+and joined into components, and only bands whose members are in several components yet go on to the next turn:
+1. each member of a band is paired with one hub of it, so a band costs as many rows as it has members;
+2. all members outside a band's largest component are held against all its members, by their registers and in blocks of
+   at most BLOCK rows a side, and each is paired with the best of each block alone;
+3. the same, paired with all whose estimate leaves the threshold within reach.
+So no pair of a band that could join two components is left out, and most bands are done before pairs are many.
 
 Edge cases: a text that is null or without words is linked with nothing; a row whose id is null takes no part and has
 a null component; rows that share an id are compared each by its own text; an empty table gives an empty result.
@@ -36,8 +37,7 @@ BUCKETS = 1 << BUCKET_BITS
 MANTISSA = 10
 BANDS, ROWS = 36, 5
 #: Standard errors under the threshold at which an estimate still goes to verification.
-MARGIN = 4.5
-ROUNDS = 4
+MARGIN = 4.0
 BLOCK = 1024
 
 _EDGES = (np.arange(BUCKETS + 1, dtype=object) << (64 - BUCKET_BITS))[:BUCKETS].astype(np.uint64)
@@ -109,40 +109,31 @@ def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (digest of the full set) and registers of each row."""
+    """doc_id, n_shingles, set_key (digest of the full set), registers and band keys of each row."""
 
     def make():
         def work(offsets, data):
             sets = shingle_sets(words(offsets, data, SPACED_LOWER), shingle)
+            regs = [registers(s) if len(s) else None for s in sets]
             return {
                 "n_shingles": np.array([len(s) for s in sets], np.int64),
                 "set_key": [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets],
-                "registers": [registers(s).tobytes() if len(s) else None for s in sets],
+                "registers": [r.tobytes() if r is not None else None for r in regs],
+                "bands": [band_keys(r) if r is not None else None for r in regs],
             }
 
         return work
 
-    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("registers", T.BinaryType())]
+    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("registers", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return map_text(docs, "text", fields, make, keep=["doc_id"])
 
 
-def _bands(nodes: DataFrame, least: int) -> DataFrame:
-    """band, id of each node with at least `least` shingles (with fewer, only equal sets reach the threshold)."""
-    schema = "band long, id long"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [band_keys(np.frombuffer(r, np.uint16)) for r in batch.column(1).to_pylist()]
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(ids.astype(np.int64))], names=["band", "id"])
-
-    return nodes.where(F.col("n") >= least).select("id", "registers").mapInArrow(run, schema)
-
-
-def _within_reach(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+def _reach(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
+    """The estimate of each pair, or -1 where it or the sizes leave the threshold out of reach."""
     got, used = estimate(x, y, n, m)
-    return (got >= threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / used) - 1 / used) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1)
+    ok = (got >= threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / used) - 1 / used) & (np.minimum(n, m) >= threshold * np.maximum(n, m) - 1)
+    return np.where(ok, got, -1.0)
 
 
 def _registers_of(column: pa.Array) -> np.ndarray:
@@ -158,14 +149,14 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
         for batch in batches:
             if batch.num_rows:
                 n, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
-                ok = pa.array(_within_reach(_registers_of(batch.column(4)), _registers_of(batch.column(5)), n, m, threshold))
+                ok = pa.array(_reach(_registers_of(batch.column(4)), _registers_of(batch.column(5)), n, m, threshold) >= 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a < b within reach of all members of a band in different components.
+def _across(members: DataFrame, nodes: DataFrame, threshold: float, best_only: bool) -> DataFrame:
+    """Pairs a < b within reach of members of a band in different components, all or the best of each block.
 
     members: band, id, component. A band's members outside its largest component are held against all its members.
     """
@@ -189,7 +180,8 @@ def _across(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
         a, b = [], []
         for k in np.flatnonzero(asks):
             ok = of[comp[of] != comp[k]]
-            ok = ok[_within_reach(regs[ok], regs[k][None, :], n[ok], n[k], threshold)]
+            near = _reach(regs[ok], regs[k][None, :], n[ok], n[k], threshold)
+            ok = ok[near >= 0] if not best_only else ok[near.argmax()][None] if len(ok) and near.max() >= 0 else ok[:0]
             a += np.minimum(ids[ok], ids[k]).tolist()
             b += np.maximum(ids[ok], ids[k]).tolist()
         return a, b
@@ -258,32 +250,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     threshold = percent / 100
     least = int(np.ceil(percent / (100 - percent))) + 1 if percent < 100 else 1 << 62
     rows = cut(signatures(docs, id_col, text_col, shingle))
-    nodes = cut(rows.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")))
+    nodes = cut(rows.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.first("bands").alias("bands")))
 
-    bands = _bands(nodes, least)
+    # With fewer than `least` shingles only equal sets reach the threshold.
+    bands = nodes.where(F.col("n") >= least).select(F.explode("bands").alias("band"), "id")
     company = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
     shared = cut(bands.join(company, "band"))
-    sets = cut(_shingles(docs, shared.select("id").distinct(), id_col, text_col, shingle))
-
-    links = label = None
-    members = shared.withColumn("component", F.col("id"))
-    for turn in range(ROUNDS + 1):
-        if turn < ROUNDS:
-            hub = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("rank"), "id", "component"))
-            hubs = members.groupBy("band").agg(hub.alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "hub.id", "hub.component").toDF("band", "hub", "hub_component")
-            pairs = members.join(hubs, "band").where("component <> hub_component").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-            pairs = _estimated(pairs, nodes, threshold)
-        else:
-            pairs = _across(members, nodes, threshold)
-        found = _verified(pairs, sets, percent)
-        links = cut(found if links is None else links.unionByName(found))
-        label = connected(links)
-        # Members of bands that hold several components yet.
+    ids = shared.select("id").distinct()
+    sig = cut(nodes.join(ids, "id", "left_semi").select("id", "n", "registers"))
+    sets = cut(_shingles(docs, ids, id_col, text_col, shingle))
+
+    hubs = shared.groupBy("band").agg(F.min(F.struct(F.xxhash64("id"), "id"))["id"].alias("hub"))
+    pairs = shared.join(hubs, "band").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    links = cut(_verified(_estimated(pairs, sig, threshold), sets, percent))
+    label = connected(links)
+    for best_only in (True, False):
         members = shared.join(label, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-        still = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-        members = cut(members.join(still, "band", "left_semi")) if turn < ROUNDS else members
-        if turn < ROUNDS and not members.take(1):
-            break
+        open_bands = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
+        found = cut(_verified(_across(members.join(open_bands, "band", "left_semi"), sig, threshold, best_only), sets, percent))
+        if found.take(1):
+            # Links between components: few, and the labels of all others stay.
+            joined = found.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+            links = label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(joined)
+            label = connected(links)
 
     component = nodes.select("set_key", "id").join(label, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(component, "set_key", "left")
