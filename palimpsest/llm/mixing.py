@@ -10,6 +10,8 @@ step is r_d <- max(0, r_d - sum_k p_dk (S_k - T_k) / S0_k), the same function of
 of the descent is its few gradients: each step is one aggregate of as many numbers as there are domains, rates are never
 stored, and a lost executor costs a reread.
 
+A domain of which the documents hold too little for its target gets MOST_REPEATS times what there is.
+
 Edge cases: null and empty texts have no tokens and change no total; a domain that no document can belong to is left
 out of the objective; repeated rows have equal rates; without labels the posteriors are even; an empty table
 gives an empty result; columns of docs with the names of results are replaced.
@@ -33,7 +35,9 @@ from .tokens import SPACED, words
 #: Domains of the labelled table, and the weights asked for by default.
 DOMAINS = ("clean", "low_quality", "toxic")
 TARGETS = {"clean": 0.95, "low_quality": 0.02, "toxic": 0.03}
-MOST_STEPS, TOLERANCE = 40, 1e-4
+MOST_STEPS, TOLERANCE = 25, 1e-4
+#: A domain's target is at most this many times what the documents hold of it; the rest goes to the other domains.
+MOST_REPEATS = 4.0
 N_INPUTS = (1 << HASH_BITS) + len(RATIOS)
 
 
@@ -115,13 +119,27 @@ def rate(steps: list[list[float]], domains: tuple[str, ...] = DOMAINS) -> Column
     return r
 
 
+def attainable(share: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Token targets of all tokens by share, none above MOST_REPEATS times the domain's own."""
+    want, free = np.zeros(len(base)), np.ones(len(base), bool)
+    for _ in base:
+        left = base.sum() - want[~free].sum()
+        want[free] = left * share[free] / max(share[free].sum(), 1e-300)
+        over = free & (want > MOST_REPEATS * base)
+        if not over.any():
+            break
+        want[over] = MOST_REPEATS * base[over]
+        free &= ~over
+    return np.minimum(want, MOST_REPEATS * base)
+
+
 def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, most: int = MOST_STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
     """The steps of the projected gradient descent over rows with n_tokens and p_<domain>."""
     share = np.array([targets[d] for d in DOMAINS], float)
     share = share / share.sum()
     total = lambda r: np.array(rows.agg(*[F.coalesce(F.sum(F.col("n_tokens") * r * F.col(f"p_{d}")), F.lit(0.0)) for d in DOMAINS]).first(), float)
     base = total(F.lit(1.0))
-    want, steps = share * base.sum(), []
+    want, steps = attainable(share, base), []
     open_domains = base > 1e-9 * max(base.sum(), 1.0)
     for _ in range(most):
         off = np.where(open_domains, total(rate(steps)) - want, 0.0)

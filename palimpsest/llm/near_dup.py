@@ -254,13 +254,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # With fewer than `least` shingles only equal sets reach the threshold.
     bands = nodes.where(F.col("n") >= least).select(F.explode("bands").alias("band"), "id")
-    company = bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band")
+    # Stored first: a join of two shuffles, neither of which is the aggregate's own, can split a large band.
+    company = cut(bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band"))
     shared = cut(bands.join(company, "band"))
     ids = shared.select("id").distinct()
     sig = cut(nodes.join(ids, "id", "left_semi").select("id", "n", "registers"))
     sets = cut(_shingles(docs, ids, id_col, text_col, shingle))
 
-    hubs = shared.groupBy("band").agg(F.min(F.struct(F.xxhash64("id"), "id"))["id"].alias("hub"))
+    hubs = cut(shared.groupBy("band").agg(F.min(F.struct(F.xxhash64("id"), "id"))["id"].alias("hub")))
     pairs = shared.join(hubs, "band").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     links = cut(_verified(_estimated(pairs, sig, threshold), sets, percent))
     label = connected(links)

@@ -256,7 +256,8 @@ def _runs(rows: DataFrame) -> DataFrame:
 
 def repeated_runs(anchors: DataFrame, texts_of) -> tuple[DataFrame | None, DataFrame]:
     """Texts with repeated cores, and the runs (id_key, text_key, start, end) that go."""
-    cores = anchors.groupBy("core").agg(F.count("*").alias("times"), (F.min("whole") != F.max("whole")).alias("mixed")).where("times > 1").select("core", "mixed")
+    # Stored first: a join of two shuffles, neither of which is the aggregate's own, can split a core that all texts have.
+    cores = cut(anchors.groupBy("core").agg(F.count("*").alias("times"), (F.min("whole") != F.max("whole")).alias("mixed")).where("times > 1").select("core", "mixed"))
     rows = cut(anchors.join(cores, "core"))
     texts = texts_of(rows.select("id_key", "text_key").distinct())
 
