@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import map_text, utf8
+from .frames import map_text, pieces, utf8
 from .labelled import crc_mod, sample
 from .tokens import SPACED_LOWER, Words, words
 
 SPAN, DECAY = 7, 0.7
 PREDICT_FROM = 0.7
-#: Most labelled documents fitted on, and most landmarks.
-SAMPLE_DOCS, LANDMARKS = 4_000, 192
+#: Most labelled documents fitted on, a quarter of them toxic, and most landmarks.
+SAMPLE_DOCS, LANDMARKS = 5_000, 192
 #: Words that explain a toxic text before it counts as explained.
 COVER = 4
 #: Words longer than this are not divided by more than its norm, or insults glued into long words would vanish.
@@ -132,8 +132,8 @@ def kernel(u: Units, landmarks: Units) -> np.ndarray:
     at[(at >= len(used)) | (used[np.minimum(at, len(used) - 1)] != t)] = len(used)
     ok = at < len(used)
     o, at, v = o[ok], at[ok], v[ok]
-    for k in range(0, len(o), 100_000):
-        part = slice(k, k + 100_000)  # owners ascend
+    for k in range(0, len(o), 20_000):
+        part = slice(k, k + 20_000)  # owners ascend
         rows, first = np.unique(o[part], return_index=True)
         out[rows] += np.add.reduceat(dense[at[part]] * v[part, None], first)
     return out
@@ -153,11 +153,13 @@ class Machine:
         return total / norms(u) + self.bias
 
     def probability(self, decision: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.clip(decision, *SCALED) + self.shift, -30, 30)))
 
 
 #: What a text without words decides.
 LOWEST = -3.0
+#: Decisions beyond these count as these in the scaling to probabilities: toxic texts without a toxic word tell it nothing.
+SCALED = (-1.5, 1.5)
 
 
 def spelled_out(w: Words) -> list[tuple[int, str]]:
@@ -217,6 +219,24 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2)
     return beta
 
 
+def _vocabulary(texts: list[str]) -> tuple[Units, np.ndarray, np.ndarray]:
+    """The distinct words of texts as Units, in order of their hashes, and the pairs (text, word), each once."""
+    offsets, data = utf8(pa.array(texts, pa.string()))
+    hashes, parts, pairs = [], [], []
+    for i, j in pieces(offsets, 1_000_000):
+        at = offsets[i : j + 1]
+        w = words(at - at[0], data[at[0] : at[-1]], SPACED_LOWER)
+        own, first = np.unique(w.hashes, return_index=True)
+        hashes.append(own)
+        parts.append(units(w, first))
+        pairs.append((w.docs + i, w.hashes))
+    every, rows = np.unique(np.concatenate(hashes), return_index=True)
+    shift = np.concatenate(([0], np.cumsum([u.n for u in parts])))
+    joined = Units(np.concatenate([u.codes for u in parts]), np.concatenate([u.owner + k for u, k in zip(parts, shift)]), int(shift[-1]))
+    pair = np.unique(np.concatenate([np.unique(d.astype(np.int64) << 32 | np.searchsorted(every, h)) for d, h in pairs]))
+    return joined.take(rows), pair >> 32, pair & 0xFFFFFFFF
+
+
 def train(labels: np.ndarray, texts: list[str], seed: int = 8) -> Machine:
     """labels and texts of labelled documents."""
     first_of = {t: k for k, t in reversed(list(enumerate(texts)))}  # copies add nothing
@@ -226,11 +246,7 @@ def train(labels: np.ndarray, texts: list[str], seed: int = 8) -> Machine:
     constant = Machine(np.zeros(1 << 18), 0.0, 0.0, 0.0)
     if not toxic.any() or toxic.all():
         return constant
-    w = words(*utf8(pa.array(texts, pa.string())), SPACED_LOWER)
-    _, index, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
-    vocabulary = units(w, index)
-    pair = np.unique(w.docs.astype(np.int64) << 32 | inverse)
-    doc, word = pair >> 32, pair & 0xFFFFFFFF
+    vocabulary, doc, word = _vocabulary(texts)
     in_toxic = np.bincount(word[toxic[doc]], minlength=vocabulary.n)
     in_clean = np.bincount(word[~toxic[doc]], minlength=vocabulary.n)
     odds = ((in_toxic + 0.1) / (toxic.sum() + 1)) / ((in_clean + 0.1) / ((~toxic).sum() + 1))
@@ -294,7 +310,7 @@ def train(labels: np.ndarray, texts: list[str], seed: int = 8) -> Machine:
     # Platt scaling of the largest decision of each text.
     top = np.full(len(texts), LOWEST)
     np.maximum.at(top, doc, np.maximum(got[word], LOWEST))
-    x, t = np.column_stack([top, np.ones(len(top))]), np.where(toxic, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / ((~toxic).sum() + 2))
+    x, t = np.column_stack([np.clip(top, *SCALED), np.ones(len(top))]), np.where(toxic, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / ((~toxic).sum() + 2))
     beta = np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -305,10 +321,10 @@ def train(labels: np.ndarray, texts: list[str], seed: int = 8) -> Machine:
 
 
 def fit_machine(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_DOCS) -> Machine:
-    """A machine from at most `rows` labelled documents that are not held out; half of the room is for toxic ones."""
+    """A machine from at most `rows` labelled documents that are not held out; a quarter of the room is for toxic ones."""
     own = labels.select(F.col("doc_id"), F.when(F.col("toxic").isin(0, 1), F.col("toxic")).alias("toxic"))
     open_rows = crc_mod("doc_id", 3) != 1
-    got = [sample(docs, own.where(F.col("toxic") == k), "toxic", where=open_rows, rows=rows // 2).toPandas() for k in (0, 1)]
+    got = [sample(docs, own.where(F.col("toxic") == k), "toxic", where=open_rows, rows=rows * (3, 1)[k] // 4).toPandas() for k in (0, 1)]
     import pandas as pd
 
     got = pd.concat(got).drop_duplicates("doc_id", keep="last").sort_values("doc_id", kind="stable")
