@@ -1,0 +1,546 @@
+"""Each operator against brute force, and on nulls, empty and long texts, repeats, clashing columns and empty tables."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.llm import boosting, fm_quality, grouping, html_text, mixing, near_dup, pii, quality_rules, queries, suffix_dedup, tokens, toxicity, warc
+from palimpsest.llm.components import connected
+from palimpsest.llm.decontaminate import decontaminate
+from palimpsest.llm import decontaminate as decon
+from palimpsest.llm.doc_stats import base_counts
+from palimpsest.llm.frames import utf8
+
+SF = "/root/testdata/sf0.001"
+LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: Null ids and texts, empty, blank, very long and repeated texts, and columns named like results.
+EDGE = [(1, None), (None, "a text without an id but with a few words"), (2, ""), (3, " \n\t "), (4, "Ü" * 70_000), (5, "w " * 60_000), (6, "one"), (6, "one"), (7, "é 😀 İ ǅ mixed Case TEXT 123 4111111111111111")]
+CLASH = "n_words kept score predicted held_out component_id text_key rate n_removed n_chars".split()
+
+
+def lower(text):
+    return (text or "").encode().translate(LOWER).decode()
+
+
+def docs_of(spark, rows, clash=True):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df.withColumns({c: F.lit("mine") for c in CLASH if c != "n_chars"} | {"n_chars": F.length("text").cast("long")}) if clash else df
+
+
+def labels_of(spark, ids):
+    return spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in ids] + [(None, 1, 0), (10**6, None, None)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return {t: spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark", "pages")}
+
+
+@pytest.fixture(scope="module")
+def corpus(tables):
+    return [(r["doc_id"], r["text"]) for r in tables["documents"].select("doc_id", "text").collect()]
+
+
+# Words and hashes
+
+
+def test_words_and_shingles_equal_regular_expressions():
+    texts = ["", "a", " A  b\tc\x0bD ", "é b", "x y", "ab ab ab"]
+    offsets, data = utf8(pa.array([*texts, None]))
+    for table, pattern, change in ((tokens.SPACED, r"[^\x20\x09-\x0D]+", str), (tokens.ALNUM_LOWER, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)):
+        w = tokens.words(offsets, data, table)
+        got = [[w.data[w.starts[i] : w.ends[i]].tobytes().decode() for i in range(a, b)] for a, b in zip(w.first[:-1], w.first[1:])]
+        assert got == [re.findall(pattern, change(t)) for t in [*texts, ""]]
+    sets = tokens.shingle_sets(tokens.words(offsets, data, tokens.SPACED_LOWER), 2)
+    assert [len(s) for s in sets] == [0, 1, 3, 1, 1, 1, 0]
+
+
+# 1 mixing
+
+
+def test_mixing_meets_its_targets(spark, tables):
+    out = queries.op1_soft_mixing(spark, SF).collect()
+    assert len(out) == tables["documents"].count()
+    total = sum(r["n_tokens"] for r in out)
+    base = np.array([sum(r["n_tokens"] * r[f"p_{d}"] for r in out) for d in mixing.DOMAINS])
+    want = mixing.attainable(np.array([mixing.TARGETS[d] for d in mixing.DOMAINS]), base)
+    got = np.array([sum(r["n_tokens"] * r["rate"] * r[f"p_{d}"] for r in out) for d in mixing.DOMAINS])
+    assert np.abs(got - want).sum() <= 2e-3 * total
+    assert all(r["rate"] >= 0 and abs(r["n_copies"] - r["rate"]) <= 1 and abs(sum(r[f"p_{d}"] for d in mixing.DOMAINS) - 1) < 1e-9 for r in out)
+
+
+def test_attainable_targets():
+    assert mixing.attainable(np.array([0.5, 0.5]), np.array([90.0, 10.0])).tolist() == [60.0, 40.0]
+    assert mixing.attainable(np.array([0.9, 0.1]), np.array([50.0, 50.0])).tolist() == [90.0, 10.0]
+
+
+def test_mixing_edges(spark):
+    docs = docs_of(spark, EDGE)
+    out = mixing.mix(docs, mixing.fit_domains(docs, labels_of(spark, range(1, 8))))
+    assert out.count() == len(EDGE) and set(docs.columns) <= set(out.columns)
+    none = labels_of(spark, []).limit(0)
+    assert mixing.mix(docs.limit(0), mixing.fit_domains(docs, none)).count() == 0
+
+
+# 2 pseudonyms
+
+
+def luhn(s):
+    digits = [int(c) for c in reversed(s) if c.isdigit()]
+    return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
+
+
+def feistel(value, key, kind, alphabets=pii._ALPHABETS):
+    """The permutation in plain Python."""
+    a, b = list(value[: len(value) // 2]), list(value[len(value) // 2 :])
+    for k in range(1, pii.ROUNDS + 1):
+        stream = bytes.fromhex(hashlib.sha256("|".join([key, kind, str(k), "".join(b)]).encode()).hexdigest())
+        moved = []
+        for i, c in enumerate(a):
+            alphabet = next((x for x in alphabets if c in x), None)
+            moved.append(alphabet[(alphabet.index(c) + stream[i % 32]) % len(alphabet)] if alphabet else c)
+        a, b = b, moved
+    return "".join(a + b)
+
+
+def test_pseudonyms_keep_formats_and_links(spark):
+    card, phone, mail, ip, token = "4111111111111111", "+1 (988) 555-2485", "bob.42@mail8.example.com", "152.143.123.131", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    text = f'{mail}, {card}$$$ {phone} {card} {ip}. token = "{token}" 2024-02-29 29.02.2024 DE89370400440532013000 4111 1111 1111 1111'
+    rows = [(1, text), (2, f"again {card}"), (3, "4111111111111112 999.1.1.1 2024-13-01 plain"), (4, None), (5, "")]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs_of(spark, rows), "key").collect()}
+    new = got[1]["text"]
+    assert all(x not in new for x in (card, phone, mail, ip, token, "2024-02-29", "29.02.2024", "DE89370400440532013000", "4111 1111 1111 1111"))
+    found = re.findall(r"(?<!\d)\d{16}(?!\d)", new)
+    assert len(found) == 2 and found[0] == found[1] and luhn(found[0])
+    assert got[2]["text"] == f"again {found[0]}"
+    body = feistel(card[:-1], "key", "card")
+    assert found[0].startswith(body) and f"{feistel('bob.42', 'key', 'email')}@mail8.example.com" in new
+    iso, dotted = re.search(r"\d{4}-\d\d-\d\d", new)[0], re.search(r"\d\d\.\d\d\.\d{4}", new)[0]
+    assert iso.split("-") == dotted.split(".")[::-1]
+    iban = re.search(r"DE\d{20}", new)[0]
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert got[3]["text"] == rows[2][1] and got[3]["n_pseudonyms"] == 0
+    assert got[4]["text"] is None and got[5]["text"] == "" and got[1]["n_pseudonyms"] == 10
+
+
+def test_permutations_are_one_to_one(spark):
+    n = spark.range(319 * 229).select(pii.permuted_number(F.col("id"), "k", "date", 319, 229).alias("y"))
+    assert n.distinct().count() == 319 * 229
+    values = spark.range(1000).select(pii.permuted(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "card").alias("y"))
+    assert values.distinct().count() == 1000
+
+
+def test_pseudonyms_use_no_python(spark):
+    plan = pii.pseudonymise(docs_of(spark, EDGE, clash=False), "key")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    assert pii.pseudonymise(docs_of(spark, EDGE), "key").count() == len(EDGE)
+
+
+# 3 quality rules
+
+
+def test_base_counts_equal_brute_force(spark, corpus):
+    rows = [t or "" for _, t in corpus + EDGE]
+    offsets, data = utf8(pa.array(rows))
+    got = base_counts(offsets, data, tokens.words(offsets, data, tokens.SPACED))
+    for i, text in enumerate(rows):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        grams = Counter(zip(w, w[1:], w[2:]))
+        cover = {j for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for j in (k, k + 1, k + 2)}
+        want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(cover))
+        assert tuple(int(got[k][i]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
+
+
+def test_forest_is_monotone_and_flat_scoring_equals_walking():
+    rng = np.random.default_rng(0)
+    x = rng.random((800, 3))
+    y = ((x[:, 0] > 0.6) ^ (rng.random(800) < 0.1)).astype(float)
+    forest = boosting.fit(x, y, {0: 1, 1: -1}, trees=20)
+    grid = np.linspace(0, 1, 50)
+    for other in rng.random((20, 3)):
+        for f, sign in ((0, 1), (1, -1)):
+            rows = np.tile(other, (50, 1))
+            rows[:, f] = grid
+            assert (sign * np.diff(forest.margin(rows)) >= -1e-12).all()
+
+    def walk(row):
+        total = forest.bias
+        for node in forest.roots:
+            while forest.left[node] != node:
+                node = forest.left[node] if row[forest.feature[node]] <= forest.threshold[node] else forest.right[node]
+            total += forest.value[node]
+        return total
+
+    assert np.allclose(forest.margin(x[:50]), [walk(r) for r in x[:50]])
+    assert ((forest.predict(x) > 0.5) == (x[:, 0] > 0.6)).mean() > 0.95
+
+
+def test_rules_edges(spark):
+    docs = docs_of(spark, EDGE)
+    forest = quality_rules.fit_rules(docs, labels_of(spark, range(1, 8)))
+    out = quality_rules.quality_rules(docs, forest)
+    rows = out.collect()
+    assert len(rows) == len(EDGE) and all(r["base_failed"] for r in rows) and not any(r["kept"] for r in rows)
+    constant = quality_rules.fit_rules(docs, labels_of(spark, []).limit(0))
+    good = docs_of(spark, [(1, " ".join(f"word{i}" for i in range(80)))])
+    assert quality_rules.quality_rules(good, constant).first()["kept"] is True
+    assert quality_rules.keep_good(good, constant).columns == good.columns
+    assert quality_rules.quality_rules(docs.limit(0), constant).count() == 0
+
+
+# 4 HTML
+
+
+def test_html_extraction():
+    page = """<html><head><title>t</title><style>p{}</style></head><body><nav><ul><li><a href=/x>Menu</a></li></ul></nav><div class="ad">Buy</div>
+    <article><h1>Head &amp; more</h1><p><b>Bold.<br><p>One  two&nbsp;three.<script>var x = "</p>";</script><p>To.</p><aside>Side</aside></article>
+    <section id="comments"><p>A reader says so and so, at some length, as they do.</p></section><footer>&copy; me</footer></body></html>"""
+    assert html_text.extract(page) == "Head & more Bold. One two three. To."
+    plain = "<div id=menu><a href=1>A</a> <a href=2>B</a></div><div><h2>Title here</h2><p>" + "word " * 30 + "</p><p>Short.</p></div><div class='cookie-notice'>We use cookies.</div>"
+    assert html_text.extract(plain) == "Title here " + ("word " * 30).strip() + " Short."
+    assert html_text.extract("") == "" and html_text.extract("<p>unclosed <b>bold &am") == "unclosed bold &am"
+    assert html_text.extract("<main><p>x</p>" + "<div><p>y</p>" * 300 + "</main>").count("y") == 300
+
+
+def test_html_edges(spark, tables):
+    df = spark.createDataFrame([(1, None), (2, ""), (2, "<p>é</p>")], "page_id long, html string").withColumn("text", F.lit("mine"))
+    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract_text(df, keep=["page_id"]).collect()) == [(1, "", 0), (2, "", 0), (2, "é", 1)]
+    out = queries.op4_line_blocks(spark, SF)
+    assert out.count() == tables["pages"].count() and out.where("n_chars <> length(text)").count() == 0
+    assert html_text.extract_text(df.limit(0)).count() == 0
+
+
+# 5 near duplicates
+
+
+def groups(rows, k, percent):
+    """component of each row index, by brute force; rows without an id are alone."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if rows[i][0] is not None and rows[j][0] is not None and sets[i] and sets[j]:
+            common = len(sets[i] & sets[j])
+            if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                root[find(i)] = find(j)
+    least = defaultdict(lambda: 1 << 62)
+    for i, (own, _) in enumerate(rows):
+        least[find(i)] = min(least[find(i)], own if own is not None else 1 << 62)
+    return [(len(sets[i]), least[find(i)] if rows[i][0] is not None else None) for i in range(len(rows))]
+
+
+def near_rows():
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for g in range(12):
+        base = [rng.choice(words) for _ in range(rng.choice([3, 12, 40, 150]))]
+        for _ in range(8):
+            own = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 9))):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            rows.append(" ".join(own))
+    chain = [rng.choice(words) for _ in range(60)]  # each like the next, first and last unlike
+    for i in range(0, 40, 4):
+        rows.append(" ".join(chain[:]))
+        chain[i : i + 4] = [f"c{i}", f"d{i}", f"e{i}", f"f{i}"]
+    ids = list(range(1000, 1000 + len(rows)))
+    rng.shuffle(ids)
+    return list(zip(ids, rows))
+
+
+@pytest.mark.parametrize("shingle, percent", [(2, 80), (5, 80)])
+def test_near_duplicates_equal_brute_force(spark, shingle, percent):
+    rows = near_rows() + EDGE
+    got = near_dup.near_duplicates(docs_of(spark, rows), shingle=shingle, percent=percent).collect()
+    want = groups(rows, shingle, percent)
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == sorted((str(i), n, str(c)) for (i, _), (n, c) in zip(rows, want))
+    assert all(r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_near_duplicates_in_small_blocks(spark, monkeypatch):
+    rows = near_rows()
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    got = near_dup.near_duplicates(docs_of(spark, rows, clash=False), shingle=2, percent=80).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: c for (i, _), (_, c) in zip(rows, groups(rows, 2, 80))}
+    assert near_dup.near_duplicates(docs_of(spark, rows).limit(0)).count() == 0
+
+
+def test_registers_and_estimates():
+    rng = np.random.default_rng(1)
+    draw = lambda n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    common, a, b = draw(3000), draw(500), draw(700)
+    x, y = (np.sort(np.concatenate([common, o])) for o in (a, b))
+    got, _ = near_dup.estimate(near_dup.registers(x)[None], near_dup.registers(y)[None], np.array([len(x)]), np.array([len(y)]))
+    assert abs(got[0] - 3000 / 4200) < 0.15
+    far = [near_dup.estimate(near_dup.registers(np.sort(draw(2000)))[None], near_dup.registers(np.sort(draw(2000)))[None], np.array([2000]), np.array([2000]))[0][0] for _ in range(30)]
+    assert np.mean(far) < 0.01
+    least = int(x[x >> np.uint64(56) == x[0] >> np.uint64(56)].min())
+    bits = format((least << 8) & ((1 << 64) - 1), "064b")[:53]
+    zeros = len(bits) - len(bits.lstrip("0"))
+    register = int(near_dup.registers(x)[x[0] >> np.uint64(56)])
+    assert register >> 10 == zeros + 1 and register & 1023 == int(bits[zeros + 1 :][:10].ljust(10, "0"), 2)
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
+    root = {}
+    find = lambda v: v if root.setdefault(v, v) == v else find(root[v])
+    for u, v in edges:
+        a, b = find(u), find(v)
+        root[max(a, b)] = min(a, b)
+    got = {r["id"]: r["component"] for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {v: find(v) for e in edges if e[0] != e[1] for v in e}
+    assert got == want
+
+
+# 6 decontamination
+
+
+def contamination(rows, items):
+    found = []
+    for _, text in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+        hit, names = set(), set()
+        for item, t in items:
+            b = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+            m = min(13, len(b))
+            wins = {tuple(b[i : i + m]) for i in range(len(b) - m + 1)} if m else set()
+            for i in range(len(w) - m + 1 if m else 0):
+                if tuple(w[i : i + m]) in wins:
+                    hit |= set(range(i, i + m))
+                    names.add(str(item)) if item is not None else None
+        found.append((len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
+    return found
+
+
+@pytest.mark.parametrize("block", [16_000_000, 200])
+def test_decontamination_equals_brute_force(spark, monkeypatch, block):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(40)] + ["É", "x1"]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(i, say(rng.choice([1, 5, 12, 13, 14, 40]))) for i in range(20)] + [(20, []), (None, say(20)), (3, say(15))]
+    rows = []
+    for i in range(60):
+        item = rng.choice(items)[1]
+        a = rng.randrange(len(item) + 1)
+        rows.append((i, ", ".join(say(rng.randint(0, 60)) + item[a : a + rng.choice([10, 13, 30])] + say(rng.randint(0, 60))).upper()))
+    items = [(i, " ".join(t)) for i, t in items] + [(30, None)]
+    monkeypatch.setattr(decon, "BLOCK_BYTES", block)
+    rows += EDGE
+    got = decontaminate(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    got = sorted(str((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"])) for r in got.collect())
+    assert got == sorted(str((i, *x)) for (i, _), x in zip(rows, contamination(rows, items)))
+
+
+def test_decontamination_without_a_benchmark(spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate(docs_of(spark, EDGE), none).where("contaminated").count() == 0
+    assert decontaminate(docs_of(spark, EDGE).limit(0), none).count() == 0
+
+
+def test_winnowing_guarantee():
+    rng = np.random.default_rng(7)
+    shared = rng.integers(0, 1 << 64, 6, dtype=np.uint64)
+    for _ in range(50):
+        a, b = (np.concatenate([rng.integers(0, 1 << 64, rng.integers(0, 9), dtype=np.uint64), shared, rng.integers(0, 1 << 64, rng.integers(0, 9), dtype=np.uint64)]) for _ in range(2))
+        assert set(a[decon.winnow(a, 6)].tolist()) & set(b[decon.winnow(b, 6)].tolist()) & set(shared.tolist())
+
+
+# 7 WARC
+
+
+def test_warc_round_trip_and_links(spark, tables, tmp_path):
+    pages = tables["pages"].limit(20)
+    made = warc.responses(pages, queries.WARC_DATE)
+    warc.write_warc(made, str(tmp_path / "w"))
+    back = {bytes(r["record"]) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert back == {bytes(r["record"]) for r in made.collect()}
+    html = {r["page_id"]: r for r in pages.collect()}
+    out = warc.derivatives(made, queries.WARC_DATE, keep="page_id").collect()
+    assert Counter(r["kind"] for r in out) == {"metadata": 20, "conversion": 20}
+    source = {r["page_id"]: next(warc.parse(bytes(r["record"]))) for r in made.collect()}
+    for r in out:
+        rec, src = next(warc.parse(bytes(r["record"]))), source[r["page_id"]]
+        assert r["refers_to"] == src.get("WARC-Record-ID") == rec.get("WARC-Refers-To") and rec.get("WARC-Refers-To-Date") == src.get("WARC-Date")
+        assert rec.get("WARC-Target-URI") == html[r["page_id"]]["url"] and int(rec.get("Content-Length")) == len(rec.block) and rec.get("WARC-Block-Digest") == warc.digest(rec.block)
+        assert r["source_payload_digest"] == warc.digest(html[r["page_id"]]["html"].encode())
+        if r["kind"] == "metadata":
+            assert b"source-content-type: text/html; charset=utf-8" in rec.block and b"outlink: http" in rec.block
+
+
+def test_warc_edges(spark):
+    block = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc"
+    a, b = warc.response(None, block, "d", "k"), warc.record("warcinfo", "<x>", "d", "t", b"", [])
+    got = list(warc.parse(a.to_bytes() + b.to_bytes()))
+    assert [g.headers for g in got] == [a.headers, b.headers] and got[0].block == a.block
+    import gzip
+
+    assert warc.inflate(gzip.compress(b"one") + gzip.compress(b"two")) == b"onetwo"
+    df = spark.createDataFrame([(1, None, None), (2, "http://[bad", "<a href='http://[x'>l</a>")], "page_id long, url string, html string")
+    assert warc.derivatives(warc.responses(df, "d"), "d", keep="page_id").count() == 4
+    assert warc.derivatives(warc.responses(df.limit(0), "d"), "d", keep="page_id").count() == 0
+    assert warc.http_parts(b"no http") == ("", [], b"no http")
+
+
+# 8 toxicity
+
+
+def toxic_corpus(seed, n):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice(["th", "er", "an", "in", "on", "re", "st"]) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    out = []
+    for i in range(n):
+        text = [rng.choice(words) for _ in range(rng.randint(5, 60))]
+        bad = i % 4 == 0
+        for _ in range(rng.randint(1, 3) if bad else 0):
+            text.insert(rng.randrange(len(text)), rng.choice(["blockhead", "dumkopf", "wazzock", "numpty"]))
+        out.append((i, " ".join(text) + ".", int(bad)))
+    return out
+
+
+def test_string_kernel_equals_its_definition():
+    def classes(word):
+        return [toxicity._START, *[int(toxicity._CLASS[b]) for b in word.encode()], toxicity._END]
+
+    def feature(word):
+        c, out = classes(word), Counter()
+        for i, j, k in itertools.combinations(range(len(c)), 3):
+            if k - i < toxicity.SPAN and c[i] and c[j] and c[k]:
+                out[c[i], c[j], c[k]] += toxicity.DECAY ** (k - i + 1)
+        return out
+
+    words = ["idiot", "id-iot", "stitch", "ab", "banana"]
+    u = toxicity.from_strings(words)
+    got = toxicity.kernel(u, u) * np.outer(toxicity.norms(u), toxicity.norms(u))
+    f = [feature(w) for w in words]
+    assert np.allclose(got, [[sum(a[t] * b[t] for t in a) for b in f] for a in f])
+    assert np.linalg.eigvalsh(toxicity.kernel(u, u)).min() > -1e-9
+
+
+def test_toxicity_on_held_out_and_bent_insults():
+    rows = toxic_corpus(1, 1200)
+    machine = toxicity.train(np.array([r[2] for r in rows]), [r[1] for r in rows])
+    score = lambda texts: machine.probability(toxicity.decisions(machine, *utf8(pa.array(texts, pa.string()))))
+    test = toxic_corpus(1, 1600)[1200:]
+    got = score([r[1] for r in test]) >= toxicity.PREDICT_FROM
+    assert (got == np.array([r[2] == 1 for r in test])).mean() > 0.97
+    assert (score(["you block-head", "a w.a.z.z.o.c.k here", "n u m p t y", "BLOCKHEAD!"]) >= 0.7).all()
+    assert (score(["", None, "?!", "then in the stan", "n u"]) < 0.7).all()
+
+
+def test_landmark_sum_equals_table():
+    rows = toxic_corpus(2, 400)
+    machine = toxicity.train(np.array([r[2] for r in rows]), [r[1] for r in rows])
+    u = toxicity.from_strings(["blockhead", "there", "numpties"])
+    owner, triple, value = toxicity.features(u)
+    assert np.allclose(machine.decide(u), np.bincount(owner, machine.table[triple] * value) + machine.bias)
+
+
+def test_toxicity_edges(spark):
+    docs = docs_of(spark, EDGE)
+    machine = toxicity.fit_machine(docs, labels_of(spark, []).limit(0))
+    rows = toxicity.toxicity_scores(docs, machine).collect()
+    assert len(rows) == len(EDGE) and all(r["score"] == 0.5 and r["predicted"] == 0 for r in rows)
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+    assert toxicity.toxicity_scores(docs.limit(0), toxicity.fit_machine(docs, labels_of(spark, range(1, 8)))).count() == 0
+
+
+# 9 factorisation machine
+
+
+def test_sum_of_squares_equals_pairs():
+    rng = np.random.default_rng(3)
+    m = fm_quality.Machine(0.3, rng.normal(size=fm_quality.N_INPUTS), rng.normal(size=(fm_quality.N_INPUTS, fm_quality.RANK)), np.zeros(1), np.ones(1))
+    at, x = rng.choice(fm_quality.N_INPUTS, 12, replace=False), rng.normal(size=12)
+    pairs = sum(m.factors[i] @ m.factors[j] * a * b for (i, a), (j, b) in itertools.combinations(zip(at, x), 2))
+    assert m.margin(np.zeros(12, int), at, x, 1)[0] == pytest.approx(0.3 + m.weights[at] @ x + pairs)
+
+
+def test_quality_on_held_out_rows(spark, tables):
+    sf = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in queries.op9_factorisation(spark, sf).collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    test = [(got[r["doc_id"]]["predicted"], r["quality"]) for r in labels if got[r["doc_id"]]["held_out"]]
+    assert len(test) > 40 and np.mean([p == q for p, q in test]) > 0.93
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for i, r in got.items())
+
+
+def test_quality_edges(spark):
+    docs = docs_of(spark, EDGE)
+    machine = fm_quality.fit_machine(docs, labels_of(spark, range(1, 8)))
+    assert fm_quality.quality_scores(docs, machine).count() == len(EDGE)
+    bare = docs.select("doc_id", "text")
+    assert fm_quality.quality_scores(bare.limit(0), fm_quality.fit_machine(bare, labels_of(spark, []).limit(0))).count() == 0
+
+
+# 10 repeated passages
+
+
+def test_suffix_arrays_by_linear_grouping():
+    rng = random.Random(10)
+    for _ in range(1500):
+        text = [rng.randrange(rng.choice([1, 2, 3, 9])) for _ in range(rng.randint(0, 25))]
+        assert grouping.suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
+
+
+def removed(rows, length=suffix_dedup.LENGTH):
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    count = Counter(b[p : p + length] for _, b in texts for p in range(len(b) - length + 1))
+    out = []
+    for i, b in texts:
+        gone, end = bytearray(len(b)), 0
+        for p in range(len(b)):
+            end = p + length if p + length <= len(b) and count[b[p : p + length]] > 1 else end
+            gone[p] = p < end
+        left = bytes(x for x, g in zip(b, gone) if not g)
+        out.append((i, len(b), len(b) - len(left), sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1])), hashlib.sha256(left).hexdigest()))
+    return out
+
+
+def passages():
+    rng = random.Random(11)
+    say = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    passage, rows = say(1500), []
+    for i in range(60):
+        a = rng.randrange(900)
+        rows.append((i, say(rng.randrange(700)) + passage[a : a + rng.choice([150, 399, 400, 401, 420, 600])] + say(rng.randrange(300))))
+    own = say(450)
+    return rows + [(100, None), (101, ""), (102, "ab" * 600), (103, "x" * 900), (104, own), (104, own), (None, say(500)), (105, rows[5][1] + "z")]
+
+
+@pytest.mark.parametrize("group, array", [(1000, 1500), (5, 12)])
+def test_repeats_equal_brute_force(spark, monkeypatch, group, array):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "ARRAY", array)
+    rows = passages()
+    out = suffix_dedup.remove_repeats(docs_of(spark, rows), with_text=True).collect()
+    got = sorted(str((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in out)
+    assert got == sorted(map(str, removed(rows)))
+    assert all(r["kept_text"] is None or hashlib.sha256(r["kept_text"]).hexdigest() == r["kept_sha256"] for r in out)
+
+
+def test_repeats_edges(spark):
+    got = suffix_dedup.remove_repeats(docs_of(spark, EDGE)).collect()
+    assert len(got) == len(EDGE)
+    by = {r["doc_id"]: r for r in got}
+    assert by[4]["n_removed"] == 140_000 and by[5]["n_removed"] == 120_000 and by[7]["n_removed"] == 0
+    assert suffix_dedup.remove_repeats(docs_of(spark, EDGE).limit(0)).count() == 0
