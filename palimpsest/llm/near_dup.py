@@ -5,13 +5,14 @@ keeps the number of leading zeros of the smallest value and the next MANTISSA bi
 "HyperMinHash: MinHash in LogLog space"). Bands of registers give candidate pairs, an estimate of the Jaccard index
 corrected for chance collisions of registers discards the hopeless, and the rest are verified on the full sets.
 
-How groups are kept from going quadratic: equal sets become one node first. Then, in three turns, links are verified
-and joined into components, and only bands whose members are in several components yet go on to the next turn:
+How groups are kept from going quadratic: equal sets become one node first. Then links are verified and joined into
+components in two turns:
 1. each member of a band is paired with one hub of it, so a band costs as many rows as it has members;
-2. all members outside a band's largest component are held against all its members, by their registers and in blocks of
-   at most BLOCK rows a side, and each is paired with the best of each block alone;
-3. the same, paired with all whose estimate leaves the threshold within reach.
-So no pair of a band that could join two components is left out, and most bands are done before pairs are many.
+2. of bands whose members are in several components yet, all members outside the largest component are held against all
+   members, by registers and then by the FINE smallest shingles, in blocks of at most BLOCK rows a side. A block keeps
+   its own components as it goes and proposes a pair only where it joins two of them. Sets of at most FINE shingles are
+   compared in full there; of larger ones all pairs within reach are proposed, unless joined already.
+So no pair of a band that could join two components is left out, and a block proposes about as many pairs as it has rows.
 
 Edge cases: a text that is null or without words is linked with nothing; a row whose id is null takes no part and has
 a null component; rows that share an id are compared each by its own text; an empty table gives an empty result.
@@ -39,6 +40,8 @@ BANDS, ROWS = 36, 5
 #: Standard errors under the threshold at which an estimate still goes to verification.
 MARGIN = 4.0
 BLOCK = 1024
+#: Smallest shingles of a set that blocks compare.
+FINE = 1024
 
 _EDGES = (np.arange(BUCKETS + 1, dtype=object) << (64 - BUCKET_BITS))[:BUCKETS].astype(np.uint64)
 _RNG = np.random.default_rng(5)
@@ -155,8 +158,48 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     return both.mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, nodes: DataFrame, threshold: float, best_only: bool) -> DataFrame:
-    """Pairs a < b within reach of members of a band in different components, all or the best of each block.
+def fine_estimate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(Jaccard index, margin) of two sorted sets from their FINE smallest members; without margin if those are all."""
+    both = np.sort(np.concatenate((x, y)))
+    twice = both[1:] == both[:-1]
+    if len(x) < FINE and len(y) < FINE:
+        common = int(twice.sum())
+        return common / max(1, len(both) - common), 0.0
+    first = np.concatenate(([True], ~twice))
+    union = np.flatnonzero(first)[:FINE]  # the smallest of the union
+    common = int(twice[union[union < len(twice)]].sum())
+    return common / max(1, len(union)), MARGIN * 0.5 / np.sqrt(max(1, len(union)))
+
+
+def _joining_pairs(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, regs: np.ndarray, fine: list[np.ndarray], asks: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of a block that may join two of its components."""
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.setdefault(c, c)) != c:
+            root[c] = root[up] if up in root else up
+            c = up
+        return c
+
+    of, out = np.flatnonzero(~asks), []
+    for k in np.flatnonzero(asks):
+        near = of[comp[of] != comp[k]]
+        got = _reach(regs[near], regs[k][None, :], n[near], n[k], threshold)
+        near = near[np.argsort(-got, kind="stable")][: int((got >= 0).sum())]
+        for j in near.tolist():
+            a, b = find(int(comp[k])), find(int(comp[j]))
+            if a == b:
+                continue
+            index, margin = fine_estimate(fine[k], fine[j])
+            if index >= threshold - margin - 1e-9:
+                out.append((min(ids[k], ids[j]), max(ids[k], ids[j])))
+                if not margin:
+                    root[max(a, b)] = min(a, b)
+    return out
+
+
+def _across(members: DataFrame, sig: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs a < b of members of a band in different components that may be links, enough to join all that are linked.
 
     members: band, id, component. A band's members outside its largest component are held against all its members.
     """
@@ -164,30 +207,16 @@ def _across(members: DataFrame, nodes: DataFrame, threshold: float, best_only: b
     bands = sizes.groupBy("band").agg(F.count("*").alias("components"), F.sum("size").alias("members"), F.max(F.struct("size", "component")).alias("largest")).where("components > 1")
     blocks = lambda rows: F.ceil(rows / F.lit(BLOCK)).cast("int")
     bands = bands.select("band", F.col("largest.component").alias("main"), blocks(F.col("members")).alias("nd"), blocks(F.col("members") - F.col("largest.size")).alias("nq"))
-    rows = members.join(bands, "band").join(nodes.select("id", "n", "registers"), "id")
+    rows = members.join(bands, "band").join(sig, "id").join(sets.select("id", "fine"), "id")
     salt = lambda of, k: F.pmod(F.xxhash64("id", F.lit(k)), of).cast("int")
     each = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
     data = rows.withColumn("d", salt(F.col("nd"), 1)).withColumn("q", each(F.col("nq"))).withColumn("asks", F.lit(False))
     asks = rows.where("component <> main").withColumn("q", salt(F.col("nq"), 2)).withColumn("d", each(F.col("nd"))).withColumn("asks", F.lit(True))
-    columns = ["band", "q", "d", "asks", "id", "component", "n", "registers"]
+    columns = ["band", "q", "d", "asks", "id", "component", "n", "registers", "fine"]
     dealt = data.select(columns).unionByName(asks.select(columns)).repartition("band", "q", "d").sortWithinPartitions("band", "q", "d", "asks", "id")
 
-    def compare(group: pa.Table) -> tuple[list, list]:
-        asks = group.column("asks").to_numpy()
-        ids, comp, n = (group.column(k).to_numpy() for k in ("id", "component", "n"))
-        regs = _registers_of(group.column("registers"))
-        of = np.flatnonzero(~asks)
-        a, b = [], []
-        for k in np.flatnonzero(asks):
-            ok = of[comp[of] != comp[k]]
-            near = _reach(regs[ok], regs[k][None, :], n[ok], n[k], threshold)
-            ok = ok[near >= 0] if not best_only else ok[near.argmax()][None] if len(ok) and near.max() >= 0 else ok[:0]
-            a += np.minimum(ids[ok], ids[k]).tolist()
-            b += np.maximum(ids[ok], ids[k]).tolist()
-        return a, b
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the group that may go on in the next batch
+        held = None  # the block that may go on in the next batch
         for batch in _with_end(batches):
             whole = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             if whole is None or not whole.num_rows:
@@ -196,13 +225,13 @@ def _across(members: DataFrame, nodes: DataFrame, threshold: float, best_only: b
             ends = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
             cuts = np.concatenate(([0], ends, [len(key)]))
             last = len(cuts) - 1 if batch is None else len(cuts) - 2
-            a, b = [], []
+            pairs = []
             for i, j in zip(cuts[:last].tolist(), cuts[1 : last + 1].tolist()):
-                x, y = compare(whole.slice(i, j - i))
-                a += x
-                b += y
+                part = whole.slice(i, j - i)
+                ids, comp, n, asking = (part.column(k).to_numpy() for k in ("id", "component", "n", "asks"))
+                pairs += _joining_pairs(ids, comp, n, _registers_of(part.column("registers")), [np.frombuffer(x, np.uint32) for x in part.column("fine").to_pylist()], asking, threshold)
             held = None if batch is None else whole.slice(int(cuts[last]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -213,21 +242,22 @@ def _with_end(batches: Iterator) -> Iterator:
 
 
 def _shingles(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """id, full shingle set of the documents in ids."""
+    """id, full shingle set, and the upper halves of its FINE smallest shingles, of the documents in ids."""
 
     def make():
         def work(offsets, data):
-            return {"shingles": [s.tobytes() for s in shingle_sets(words(offsets, data, SPACED_LOWER), shingle)]}
+            sets = shingle_sets(words(offsets, data, SPACED_LOWER), shingle)
+            return {"shingles": [s.tobytes() for s in sets], "fine": [(s[:FINE] >> U(32)).astype(np.uint32).tobytes() for s in sets]}
 
         return work
 
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).join(ids, "id", "left_semi")
-    return map_text(texts, "text", [T.StructField("shingles", T.BinaryType())], make, keep=["id"])
+    return map_text(texts, "text", [T.StructField("shingles", T.BinaryType()), T.StructField("fine", T.BinaryType())], make, keep=["id"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union."""
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,11 +278,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two documents are linked when 100 * shared shingles >= percent * shingles of either, on the whole sets.
     """
     threshold = percent / 100
-    least = int(np.ceil(percent / (100 - percent))) + 1 if percent < 100 else 1 << 62
+    least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
     rows = cut(signatures(docs, id_col, text_col, shingle))
     nodes = cut(rows.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.first("bands").alias("bands")))
 
-    # With fewer than `least` shingles only equal sets reach the threshold.
+    # A set of fewer than `least` shingles can only be linked with its equals.
     bands = nodes.where(F.col("n") >= least).select(F.explode("bands").alias("band"), "id")
     # Stored first: a join of two shuffles, neither of which is the aggregate's own, can split a large band.
     company = cut(bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band"))
@@ -265,15 +295,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = shared.join(hubs, "band").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     links = cut(_verified(_estimated(pairs, sig, threshold), sets, percent))
     label = connected(links)
-    for best_only in (True, False):
-        members = shared.join(label, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-        open_bands = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-        found = cut(_verified(_across(members.join(open_bands, "band", "left_semi"), sig, threshold, best_only), sets, percent))
-        if found.take(1):
-            # Links between components: few, and the labels of all others stay.
-            joined = found.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-            links = label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(joined)
-            label = connected(links)
+    members = shared.join(label, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    found = cut(_verified(_across(members, sig, sets, threshold), sets, percent))
+    if found.take(1):
+        # Links between components: few, and the labels of all others stay.
+        joined = found.join(label.toDF("a", "ca"), "a", "left").join(label.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        label = connected(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(joined))
 
     component = nodes.select("set_key", "id").join(label, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(component, "set_key", "left")

@@ -261,6 +261,7 @@ def near_rows():
     for i in range(0, 40, 4):
         rows.append(" ".join(chain[:]))
         chain[i : i + 4] = [f"c{i}", f"d{i}", f"e{i}", f"f{i}"]
+    rows += ["s1 s2 s3 s4 s5", "s1 s2 s3 s4 s5 s6", "t1 t2 t3 t4", "t1 t2 t3 t4 t5"]  # 4 of 5 shingles; 3 of 4
     ids = list(range(1000, 1000 + len(rows)))
     rng.shuffle(ids)
     return list(zip(ids, rows))
