@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.decontaminate import decontaminate
-from palimpsest.llm.frames import ensure_checkpoint_dir, table
+from palimpsest.llm.frames import counted, cut, ensure_checkpoint_dir, table
 from palimpsest.llm.mixing import TARGETS, fit_domains, mix
 from palimpsest.llm.near_dup import near_duplicates
 from palimpsest.llm.pii import pseudonymise
@@ -23,11 +23,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity 0.8): the one with the smallest id."""
-    groups = near_duplicates(docs, shingle=5, percent=80)
-    kept = groups.where("kept").select("doc_id").distinct()
-    # Rows of one id are one document; those without an id are in no group.
-    rows = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    groups = cut(near_duplicates(docs, shingle=5, percent=80))
+    by_id = groups.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
+    gone = cut(by_id.where("not kept").select("doc_id"))
+    rows = docs.join(counted(gone), "doc_id", "left_anti").select(docs.columns)
+    if by_id.where("kept and times > 1").take(1):  # rows of one id are one document; those without an id stand alone
+        rows = rows.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.where("doc_id is null"))
+    return rows
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -36,6 +37,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Most keys that are sent to all executors rather than shuffled with what they are joined to: some 10 MB.
+BROADCAST_KEYS = 500_000
+
+
+def counted(keys: DataFrame) -> DataFrame:
+    """keys (stored, so that counting is cheap), to be broadcast in a join if they are BROADCAST_KEYS at most."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string or binary column, without making Python strings; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected
-from .frames import cut, map_text
+from .frames import counted, cut, map_text
 from .tokens import SPACED_LOWER, U, mix, shingle_sets, words
 
 BUCKET_BITS = 8
@@ -287,9 +287,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Stored first: a join of two shuffles, neither of which is the aggregate's own, can split a large band.
     company = cut(bands.groupBy("band").agg(F.count("*").alias("members")).where("members > 1").select("band"))
     shared = cut(bands.join(company, "band"))
-    ids = shared.select("id").distinct()
+    ids = cut(shared.select("id").distinct())
     sig = cut(nodes.join(ids, "id", "left_semi").select("id", "n", "registers"))
-    sets = cut(_shingles(docs, ids, id_col, text_col, shingle))
+    sets = cut(_shingles(docs, counted(ids), id_col, text_col, shingle))
 
     hubs = cut(shared.groupBy("band").agg(F.min(F.struct(F.xxhash64("id"), "id"))["id"].alias("hub")))
     pairs = shared.join(hubs, "band").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .frames import cut, map_text, utf8
+from .frames import counted, cut, map_text, utf8
 from .grouping import suffix_array
 from .tokens import U, mix, prefix_hashes, spans
 
@@ -325,7 +325,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lists = rows.select("id_key", "text_key", F.inline(F.arrays_zip("at", "far", "near", "core", "whole")))
 
     def texts_of(keys: DataFrame) -> DataFrame:
-        return cut(keyed.select("id_key", "text_key", "text").join(keys, ["id_key", "text_key"], "left_semi").dropDuplicates(["id_key", "text_key"]))
+        return cut(keyed.select("id_key", "text_key", "text").join(counted(cut(keys)), ["id_key", "text_key"], "left_semi").dropDuplicates(["id_key", "text_key"]))
 
     texts, runs = repeated_runs(lists, texts_of)
     left = _without(texts, runs, with_text)
