@@ -14,14 +14,17 @@ def exact_match(prediction: Column, answer: Column) -> Column:
 
 def token_f1(prediction: Column, answer: Column) -> Column:
     """F1 of the bags of words; 1 if both are empty, 0 if one is."""
-    words = lambda t: F.filter(F.split(normalised_answer(t), " "), lambda w: w != "")
-    p, a = words(prediction), words(answer)
-    times = lambda bag, w: F.size(F.filter(bag, lambda x: x == w))
-    common = F.aggregate(F.array_distinct(p), F.lit(0), lambda s, w: s + F.least(times(p, w), times(a, w)))
-    total = F.size(p) + F.size(a)
+    p, a = _bag(prediction), _bag(answer)
+    common, total = F.size(F.array_intersect(p, a)), F.size(p) + F.size(a)
     return F.when(total == 0, F.lit(1.0)).when(common == 0, F.lit(0.0)).otherwise(2.0 * common / total)
 
 
+def _bag(text: Column) -> Column:
+    """The words of a text, each numbered among its equals, so that sets of them meet as bags do."""
+    words = F.array_sort(F.filter(F.split(normalised_answer(text), " "), lambda w: w != ""))
+    return F.transform(words, lambda w, i: F.concat(w, F.lit("#"), (i + 1 - F.array_position(words, w)).cast("string")))
+
+
 def hits(results: DataFrame, evidence: DataFrame, k: int) -> DataFrame:
     """question_id, n_evidence, hit, coverage, all_hit of evidence files among the first k result paths (by suffix).
 
