@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.decontaminate import decontaminate
-from palimpsest.llm.frames import counted, cut, ensure_checkpoint_dir, table
+from palimpsest.llm.frames import counted, cut, delete, ensure_checkpoint_dir, table
 from palimpsest.llm.mixing import TARGETS, fit_domains, mix
 from palimpsest.llm.near_dup import near_duplicates
 from palimpsest.llm.pii import pseudonymise
@@ -56,10 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES on documents, each written to the shared checkpoint folder and read again."""
+    """STAGES on documents, each written to the shared checkpoint folder and read again; what the next has read goes."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        delete(spark, f"{folder}/{k - 1}")
     return docs

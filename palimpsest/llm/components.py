@@ -19,7 +19,8 @@ def connected(edges: DataFrame) -> DataFrame:
     while True:
         # Large star: every neighbour above u goes to the smallest of u and its neighbours.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Stored first: a join of two shuffles, neither of which is the aggregate's own, can split a node of many links.
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: u and its smaller neighbours go to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
