@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 from ..functions.text import normalised_answer
 
 
-def exact_match(prediction: Column, answer: Column) -> Column:
-    return (normalised_answer(prediction) == normalised_answer(answer)).cast("double")
-
-
-def token_f1(prediction: Column, answer: Column) -> Column:
-    """F1 of the bags of words; 1 if both are empty, 0 if one is."""
-    p, a = _bag(prediction), _bag(answer)
-    common, total = F.size(F.array_intersect(p, a)), F.size(p) + F.size(a)
-    return F.when(total == 0, F.lit(1.0)).when(common == 0, F.lit(0.0)).otherwise(2.0 * common / total)
-
-
-def _bag(text: Column) -> Column:
-    """The words of a text, each numbered among its equals, so that sets of them meet as bags do."""
-    words = F.array_sort(F.filter(F.split(normalised_answer(text), " "), lambda w: w != ""))
+def answer_scores(rows: DataFrame, prediction: str, answer: str) -> DataFrame:
+    """rows with exact_match and f1 of two text columns, after normalisation; f1 of the bags of words, 1 if both are
+    empty and 0 if one is. The texts are normalised in a step of their own, or each word would normalise them again."""
+    words = lambda c: F.array_sort(F.filter(F.split(c, " "), lambda w: w != ""))
+    rows = rows.withColumn("_p", normalised_answer(F.col(prediction))).withColumn("_a", normalised_answer(F.col(answer)))
+    rows = rows.withColumn("exact_match", (F.col("_p") == F.col("_a")).cast("double")).withColumn("_p", words("_p")).withColumn("_a", words("_a"))
+    rows = rows.withColumn("_p", _bag(F.col("_p"))).withColumn("_a", _bag(F.col("_a")))
+    common, total = F.size(F.array_intersect("_p", "_a")), F.size("_p") + F.size("_a")
+    f1 = F.when(total == 0, F.lit(1.0)).when(common == 0, F.lit(0.0)).otherwise(2.0 * common / total)
+    return rows.withColumn("f1", f1).drop("_p", "_a")
+
+
+def _bag(words: Column) -> Column:
+    """Sorted words, each numbered among its equals, so that sets of them meet as bags do."""
     return F.transform(words, lambda w, i: F.concat(w, F.lit("#"), (i + 1 - F.array_position(words, w)).cast("string")))
 
 

@@ -43,25 +43,26 @@ def vector_candidates(memories: DataFrame, queries: DataFrame, k: int) -> DataFr
     return _top(rows, ["query_id"], k, F.desc("vector_score"), F.col("id"))
 
 
-def keyword_rank(terms: Column, text: Column) -> Column:
-    """How densely the terms occur in a text, below 1: f / (f + 1) summed over terms and divided by their number.
+def keyword_rank(terms: Column, words: Column) -> Column:
+    """How densely the terms occur among a text's words, below 1: f / (f + 1) summed over terms and divided by their number.
 
     Stands for the store's full-text rank, whose numbers depend on its own stemmer and weights.
     """
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
     count = lambda t: F.size(F.filter(words, lambda w: w == t))
     return F.aggregate(terms, F.lit(0.0), lambda s, t: s + count(t) / (count(t) + 1)) / F.greatest(F.size(terms), F.lit(1))
 
 
-def keyword_match(memories: DataFrame, terms: Column) -> Column:
-    """Whether a text has all terms; no term matches nothing."""
-    return (F.size(terms) > 0) & (F.size(F.array_except(terms, txt.tokens(F.col("text")))) == 0)
+def keyword_match(words: Column, terms: Column) -> Column:
+    """Whether the words have all terms; no term matches nothing."""
+    return (F.size(terms) > 0) & (F.size(F.array_except(terms, words)) == 0)
 
 
 def keyword_candidates(memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id and the columns of memories with text_score. queries: query_id, user_id, terms (array)."""
     rows = memories.join(queries, "user_id")
-    rows = rows.where(keyword_match(rows, F.col("terms"))).withColumn("text_score", keyword_rank(F.col("terms"), F.col("text"))).drop("terms")
+    # The words are a column of their own, or each term would split the text again.
+    rows = rows.withColumn("_words", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))).where(keyword_match(F.col("_words"), F.col("terms")))
+    rows = rows.withColumn("text_score", keyword_rank(F.col("terms"), F.col("_words"))).drop("terms", "_words")
     return _top(rows, ["query_id"], k, F.desc("text_score"), F.col("id"))
 
 

@@ -459,8 +459,7 @@ SELECT conv_id, turn, (array_to_string(p, ' ') = array_to_string(q, ' '))::INT::
 def em_f1(spark, sf_dir):
     m = messages(spark, sf_dir).select("conv_id", "turn", F.col("content").alias("prediction"))
     rows = m.join(m.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("prediction").alias("answer")), ["conv_id", "turn"])
-    p, a = F.col("prediction"), F.col("answer")
-    return rows.select("conv_id", "turn", evaluate.exact_match(p, a).alias("exact_match"), F.round(evaluate.token_f1(p, a), 6).alias("f1"))
+    return evaluate.answer_scores(rows, "prediction", "answer").select("conv_id", "turn", "exact_match", F.round("f1", 6).alias("f1"))
 
 
 def _ranked(spark, sf_dir) -> DataFrame:
