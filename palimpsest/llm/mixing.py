@@ -1,14 +1,18 @@
 """Mixing sources to target weights with soft membership.
 
 A softmax classifier, fitted on a bounded sample of the labelled table, gives each document a posterior over the
-domains. Nonnegative rates r, one a document, are then fitted by projected gradient descent to
+domains. Of the nonnegative rates r, one a document, that bring the domains' tokens
 
-    sum over domains k of (S_k - T_k)^2 / (2 S0_k),   S_k = sum over documents d of n_d r_d p_dk,
+    S_k = sum over documents d of n_d r_d p_dk
 
-with n the tokens, T the targets and S0 the totals at rate 1. In the metric that weighs documents by their tokens a
-step is r_d <- max(0, r_d - sum_k p_dk (S_k - T_k) / S0_k), the same function of (n, p) for all documents. So the state
-of the descent is its few gradients: each step is one aggregate of as many numbers as there are domains, rates are never
-stored, and a lost executor costs a reread.
+to their targets T, with n the tokens, the ones nearest to 1 in the metric that weighs documents by their tokens are
+r_d = max(0, 1 + sum_k p_dk u_k), the same function of p for all documents. The few numbers u are those of the dual,
+
+    sum over d of n_d r_d^2 / 2 - sum over k of T_k u_k + RIDGE sum over k of S0_k u_k^2 / 2,   S0 the totals at rate 1,
+
+which Newton steps with a line search bring to its minimum. Each step is one aggregate of some dozen numbers, rates are
+never stored, and a lost executor costs a reread. Where no rates meet the targets the ridge makes them those of the
+least sum of (S_k - T_k)^2 / S0_k. Totals that stay off their targets by more than TOLERANCE are warned of.
 
 A domain of which the documents hold too little for its target gets MOST_REPEATS times what there is.
 
@@ -19,6 +23,7 @@ gives an empty result; columns of docs with the names of results are replaced.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +40,8 @@ from .tokens import SPACED, words
 #: Domains of the labelled table, and the weights asked for by default.
 DOMAINS = ("clean", "low_quality", "toxic")
 TARGETS = {"clean": 0.95, "low_quality": 0.02, "toxic": 0.03}
-MOST_STEPS, TOLERANCE = 25, 1e-4
+#: Passes over the rows at most, how far a domain's total may be from its target (as a share of it), weight of the ridge.
+MOST_PASSES, TOLERANCE, RIDGE = 300, 1e-4, 1e-10
 #: A domain's target is at most this many times what the documents hold of it; the rest goes to the other domains.
 MOST_REPEATS = 4.0
 N_INPUTS = (1 << HASH_BITS) + len(RATIOS)
@@ -111,12 +117,23 @@ def with_posteriors(docs: DataFrame, model: Softmax, text_col: str = "text", kee
     return map_text(docs, text_col, fields, make, keep=keep)
 
 
-def rate(steps: list[list[float]], domains: tuple[str, ...] = DOMAINS) -> Column:
-    """The rate of a row after the given steps of the descent."""
-    r = F.lit(1.0)
-    for step in steps:
-        r = F.greatest(F.lit(0.0), r - sum((F.col(f"p_{d}") * float(c) for d, c in zip(domains, step)), F.lit(0.0)))
-    return r
+def rate(duals: np.ndarray | list[float], domains: tuple[str, ...] = DOMAINS) -> Column:
+    """The rate of a row at the given numbers of the dual."""
+    return F.greatest(F.lit(0.0), sum((F.col(f"p_{d}") * float(u) for d, u in zip(domains, duals)), F.lit(1.0)))
+
+
+@dataclass
+class Rates:
+    duals: np.ndarray
+    targets: np.ndarray  # tokens by domain
+    achieved: np.ndarray
+
+    def gaps(self) -> np.ndarray:
+        """How far each domain's total is from its target, as a share of it (of all targets where its own is 0)."""
+        return np.abs(self.achieved - self.targets) / np.where(self.targets > 0, self.targets, max(self.targets.sum(), 1.0))
+
+    def __str__(self) -> str:
+        return "; ".join(f"{d}: target {t:.6g}, achieved {a:.6g} tokens" for d, t, a in zip(DOMAINS, self.targets, self.achieved))
 
 
 def attainable(share: np.ndarray, base: np.ndarray) -> np.ndarray:
@@ -133,20 +150,47 @@ def attainable(share: np.ndarray, base: np.ndarray) -> np.ndarray:
     return np.minimum(want, MOST_REPEATS * base)
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, most: int = MOST_STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
-    """The steps of the projected gradient descent over rows with n_tokens and p_<domain>."""
+def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, most: int = MOST_PASSES, tolerance: float = TOLERANCE) -> Rates:
+    """The rates' dual numbers over rows with n_tokens and p_<domain>, fitted until each domain's total is within
+    tolerance of its target or no rates come nearer; a warning tells the totals that are not."""
     share = np.array([targets[d] for d in DOMAINS], float)
     share = share / share.sum()
-    total = lambda r: np.array(rows.agg(*[F.coalesce(F.sum(F.col("n_tokens") * r * F.col(f"p_{d}")), F.lit(0.0)) for d in DOMAINS]).first(), float)
-    base = total(F.lit(1.0))
-    want, steps = attainable(share, base), []
+    p, pairs = [F.col(f"p_{d}") for d in DOMAINS], [(i, j) for i in range(len(DOMAINS)) for j in range(i, len(DOMAINS))]
+
+    def at(u):
+        """The dual without T and ridge, its gradient (the totals) and its second derivatives."""
+        r, n = rate(u), F.col("n_tokens")
+        parts = [n * r * r / 2, *[n * r * c for c in p], *[F.when(r > 0, n * p[i] * p[j]) for i, j in pairs]]
+        got = np.array(rows.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(str(k)) for k, c in enumerate(parts)]).first(), float)
+        second = np.zeros((len(p), len(p)))
+        for (i, j), x in zip(pairs, got[1 + len(p) :]):
+            second[i, j] = second[j, i] = x
+        return got[0], got[1 : 1 + len(p)], second
+
+    u = np.zeros(len(p))
+    value, total, second = at(u)
+    base, want = total, attainable(share, total)
     open_domains = base > 1e-9 * max(base.sum(), 1.0)
-    for _ in range(most):
-        off = np.where(open_domains, total(rate(steps)) - want, 0.0)
-        if np.abs(off).sum() <= tolerance * max(want.sum(), 1.0):
-            break
-        steps.append((off / np.where(open_domains, base, 1.0)).tolist())
-    return steps
+    ridge = np.where(open_domains, RIDGE * base, 1.0)
+    fit, passes = Rates(u, want, total), 1
+    while passes < most and (fit.gaps()[open_domains] > tolerance).any():
+        slope = np.where(open_domains, total - want + ridge * u, 0.0)
+        if (np.abs(slope) <= 0.1 * tolerance * np.minimum(want, base)).all():
+            break  # the minimum: what is left of the gaps no rates close
+        curve = np.where(np.outer(open_domains, open_domains), second, 0.0) + np.diag(ridge)
+        scale = 1 / np.sqrt(np.diag(curve))
+        step = -scale * np.linalg.lstsq(curve * np.outer(scale, scale), scale * slope, rcond=None)[0]
+        now, length = value - want @ u + ridge @ (u * u) / 2, 1.0
+        while passes < most:
+            new, passes = u + length * step, passes + 1
+            value, total, second = at(new)
+            if value - want @ new + ridge @ (new * new) / 2 <= now + 1e-4 * length * (slope @ step) + 1e-12 * abs(now):
+                break
+            length /= 2
+        u, fit = new, Rates(new, want, total)
+    if (fit.gaps()[open_domains] > tolerance).any():
+        warnings.warn(f"mixing: targets not met after {passes} passes. {fit}", stacklevel=2)
+    return fit
 
 
 def mix(docs: DataFrame, model: Softmax, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -156,8 +200,8 @@ def mix(docs: DataFrame, model: Softmax, targets: dict[str, float] = TARGETS, id
     """
     keep = docs.columns if keep is None else keep
     rows = cut(with_posteriors(docs, model, text_col, keep=[] if text_col in keep else keep))
-    steps = fit_rates(rows, targets)
+    fit = fit_rates(rows, targets)
     out = rows if text_col not in keep else with_posteriors(docs, model, text_col, keep=keep)
     chance = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit("mixing")), F.lit(1 << 32)) / float(1 << 32)
-    out = out.withColumn("rate", rate(steps))
+    out = out.withColumn("rate", rate(fit.duals))
     return out.withColumn("n_copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("long"))

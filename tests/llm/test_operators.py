@@ -90,6 +90,34 @@ def test_mixing_edges(spark):
     assert mixing.mix(docs.limit(0), mixing.fit_domains(docs, none)).count() == 0
 
 
+def soft_rows(spark, weights, sharpness, n=400):
+    """Rows with tokens and posteriors of overlapping domains."""
+    g = np.random.default_rng(1)
+    z = g.normal(size=(n, 3)) + np.log(weights)
+    z[np.arange(n), g.choice(3, n, p=weights)] += sharpness
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    return spark.createDataFrame([(int(t), *map(float, r)) for t, r in zip(g.integers(1, 2000, n), p)], ["n_tokens", *[f"p_{d}" for d in mixing.DOMAINS]])
+
+
+@pytest.mark.parametrize("weights", [(0.84, 0.14, 0.02), (0.5, 0.4, 0.1)])
+def test_mixing_of_soft_posteriors_meets_each_target(spark, weights):
+    rows = soft_rows(spark, weights, 1.0)
+    fit = mixing.fit_rates(rows)
+    out = rows.withColumn("rate", mixing.rate(fit.duals)).toPandas()
+    total = out["n_tokens"].sum()
+    for d, target in mixing.TARGETS.items():
+        assert abs((out["n_tokens"] * out["rate"] * out[f"p_{d}"]).sum() / (target * total) - 1) <= 2 * mixing.TOLERANCE
+    assert (out["rate"] >= 0).all() and (fit.gaps() <= mixing.TOLERANCE).all()
+
+
+def test_mixing_tells_of_targets_out_of_reach(spark):
+    rows = spark.createDataFrame([(10, 0.5, 0.25, 0.25), (30, 0.5, 0.25, 0.25)], ["n_tokens", *[f"p_{d}" for d in mixing.DOMAINS]])
+    with pytest.warns(UserWarning, match="targets not met"):
+        fit = mixing.fit_rates(rows)
+    # one direction of totals only: the least sum of (S - T)^2 / S0 has the rate 1, as all targets are of 40 tokens
+    assert np.abs(fit.achieved - [20, 10, 10]).max() < 1e-3 and fit.gaps().max() > 1
+
+
 # 2 pseudonyms
 
 
