@@ -14,7 +14,8 @@ which Newton steps with a line search bring to its minimum. Each step is one agg
 never stored, and a lost executor costs a reread. Where no rates meet the targets the ridge makes them those of the
 least sum of (S_k - T_k)^2 / S0_k. Totals that stay off their targets by more than TOLERANCE are warned of.
 
-A domain of which the documents hold too little for its target gets MOST_REPEATS times what there is.
+Targets are met as asked, however often a scarce domain's documents are repeated for it; most_repeats is an opt-in
+limit, which hands what a scarce domain lacks to the others. The fit holds asked, reachable and achieved tokens.
 
 Edge cases: null and empty texts have no tokens and change no total; a domain that no document can belong to is left
 out of the objective; repeated rows have equal rates; without labels the posteriors are even; an empty table
@@ -23,6 +24,7 @@ gives an empty result; columns of docs with the names of results are replaced.
 
 from __future__ import annotations
 
+import logging
 import warnings
 from dataclasses import dataclass
 
@@ -37,12 +39,14 @@ from .frames import cut, map_text
 from .labelled import SAMPLE_ROWS, sample
 from .tokens import SPACED, words
 
+log = logging.getLogger(__name__)
+
 #: Domains of the labelled table, and the weights asked for by default.
 DOMAINS = ("clean", "low_quality", "toxic")
 TARGETS = {"clean": 0.95, "low_quality": 0.02, "toxic": 0.03}
 #: Passes over the rows at most, how far a domain's total may be from its target (as a share of it), weight of the ridge.
 MOST_PASSES, TOLERANCE, RIDGE = 300, 1e-4, 1e-10
-#: A domain's target is at most this many times what the documents hold of it; the rest goes to the other domains.
+#: A usual limit for a domain's target, in times of what the documents hold of it; only where it is asked for.
 MOST_REPEATS = 4.0
 N_INPUTS = (1 << HASH_BITS) + len(RATIOS)
 
@@ -125,7 +129,8 @@ def rate(duals: np.ndarray | list[float], domains: tuple[str, ...] = DOMAINS) ->
 @dataclass
 class Rates:
     duals: np.ndarray
-    targets: np.ndarray  # tokens by domain
+    asked: np.ndarray  # tokens by domain
+    targets: np.ndarray  # those of them that documents and most_repeats let reach
     achieved: np.ndarray
 
     def gaps(self) -> np.ndarray:
@@ -133,26 +138,26 @@ class Rates:
         return np.abs(self.achieved - self.targets) / np.where(self.targets > 0, self.targets, max(self.targets.sum(), 1.0))
 
     def __str__(self) -> str:
-        return "; ".join(f"{d}: target {t:.6g}, achieved {a:.6g} tokens" for d, t, a in zip(DOMAINS, self.targets, self.achieved))
+        return "; ".join(f"{d}: asked {w:.6g}, reachable {t:.6g}, achieved {a:.6g} tokens" for d, w, t, a in zip(DOMAINS, self.asked, self.targets, self.achieved))
 
 
-def attainable(share: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Token targets of all tokens by share, none above MOST_REPEATS times the domain's own."""
+def attainable(share: np.ndarray, base: np.ndarray, most: float = MOST_REPEATS) -> np.ndarray:
+    """Token targets of all tokens by share, none above `most` times the domain's own."""
     want, free = np.zeros(len(base)), np.ones(len(base), bool)
     for _ in base:
         left = base.sum() - want[~free].sum()
         want[free] = left * share[free] / max(share[free].sum(), 1e-300)
-        over = free & (want > MOST_REPEATS * base)
+        over = free & (want > most * base)
         if not over.any():
             break
-        want[over] = MOST_REPEATS * base[over]
+        want[over] = most * base[over]
         free &= ~over
-    return np.minimum(want, MOST_REPEATS * base)
+    return np.minimum(want, most * base)
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, most: int = MOST_PASSES, tolerance: float = TOLERANCE) -> Rates:
+def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, most: int = MOST_PASSES, tolerance: float = TOLERANCE, most_repeats: float | None = None) -> Rates:
     """The rates' dual numbers over rows with n_tokens and p_<domain>, fitted until each domain's total is within
-    tolerance of its target or no rates come nearer; a warning tells the totals that are not."""
+    tolerance of its target or no rates come nearer; a warning tells the totals that are not, and targets out of reach."""
     share = np.array([targets[d] for d in DOMAINS], float)
     share = share / share.sum()
     p, pairs = [F.col(f"p_{d}") for d in DOMAINS], [(i, j) for i in range(len(DOMAINS)) for j in range(i, len(DOMAINS))]
@@ -169,10 +174,16 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, most: int =
 
     u = np.zeros(len(p))
     value, total, second = at(u)
-    base, want = total, attainable(share, total)
+    base, asked = total, share * total.sum()
     open_domains = base > 1e-9 * max(base.sum(), 1.0)
+    if most_repeats is not None:
+        want = attainable(share, base, most_repeats)
+    elif open_domains.all() or not share[open_domains].any():
+        want = asked
+    else:  # what no document holds nothing repeats
+        want = np.where(open_domains, share, 0.0) * base.sum() / share[open_domains].sum()
     ridge = np.where(open_domains, RIDGE * base, 1.0)
-    fit, passes = Rates(u, want, total), 1
+    fit, passes = Rates(u, asked, want, total), 1
     while passes < most and (fit.gaps()[open_domains] > tolerance).any():
         slope = np.where(open_domains, total - want + ridge * u, 0.0)
         if (np.abs(slope) <= 0.1 * tolerance * np.minimum(want, base)).all():
@@ -187,20 +198,21 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, most: int =
             if value - want @ new + ridge @ (new * new) / 2 <= now + 1e-4 * length * (slope @ step) + 1e-12 * abs(now):
                 break
             length /= 2
-        u, fit = new, Rates(new, want, total)
-    if (fit.gaps()[open_domains] > tolerance).any():
+        u, fit = new, Rates(new, asked, want, total)
+    if (fit.gaps()[open_domains] > tolerance).any() or (np.abs(want - asked) > tolerance * asked).any():
         warnings.warn(f"mixing: targets not met after {passes} passes. {fit}", stacklevel=2)
     return fit
 
 
-def mix(docs: DataFrame, model: Softmax, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, model: Softmax, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, most_repeats: float | None = None) -> DataFrame:
     """The columns `keep` of docs (default: all), n_tokens, p_<domain>, rate, and n_copies, whose expectation is the rate.
 
     n_copies is the rate's whole part, and one more where a hash of the id falls below the rest.
     """
     keep = docs.columns if keep is None else keep
     rows = cut(with_posteriors(docs, model, text_col, keep=[] if text_col in keep else keep))
-    fit = fit_rates(rows, targets)
+    fit = fit_rates(rows, targets, most_repeats=most_repeats)
+    log.info("mixing: %s", fit)
     out = rows if text_col not in keep else with_posteriors(docs, model, text_col, keep=keep)
     chance = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit("mixing")), F.lit(1 << 32)) / float(1 << 32)
     out = out.withColumn("rate", rate(fit.duals))

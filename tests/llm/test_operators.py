@@ -118,6 +118,18 @@ def test_mixing_tells_of_targets_out_of_reach(spark):
     assert np.abs(fit.achieved - [20, 10, 10]).max() < 1e-3 and fit.gaps().max() > 1
 
 
+def test_mixing_meets_targets_of_scarce_domains(spark):
+    columns = ["n_tokens", *[f"p_{d}" for d in mixing.DOMAINS]]
+    rows = spark.createDataFrame([(9600, 1.0, 0.0, 0.0), (100, 0.0, 1.0, 0.0), (10, 0.0, 1.0, 0.0), (290, 0.0, 0.0, 1.0)], columns)
+    targets = {"clean": 0.8, "low_quality": 0.17, "toxic": 0.03}  # low_quality is 1.1 % of the tokens: 15.5 times over
+    fit = mixing.fit_rates(rows, targets)
+    want = np.array([0.8, 0.17, 0.03]) * 10_000
+    assert np.abs(fit.achieved / want - 1).max() <= mixing.TOLERANCE and np.allclose(fit.asked, want) and np.allclose(fit.targets, want)
+    with pytest.warns(UserWarning, match="asked 1700, reachable 440, achieved 440"):
+        limited = mixing.fit_rates(rows, targets, most_repeats=4.0)
+    assert np.allclose(limited.asked, want) and abs(limited.achieved[1] / 440 - 1) <= mixing.TOLERANCE
+
+
 # 2 pseudonyms
 
 
