@@ -1,11 +1,12 @@
 """Format-preserving pseudonyms for personal data, by keyed Feistel permutations; DataFrame functions only.
 
 Found values are validated (Luhn for cards, mod 97 for IBANs, octets for IPv4, the calendar for dates, the ranges of
-US numbers) and permuted within their format: every digit stays a digit, every letter a letter of its case, the check
+social security numbers) and permuted within their format: every digit stays a digit, every letter a letter of its case, the check
 digits hold again, a date stays a date of its format. The permutation depends on the key and the kind alone, so equal
 values have equal pseudonyms in all documents, and different values different ones.
 
-kinds: email (local part), secret (passwords, tokens, access keys), ipv4, date, phone, card, iban, ssn.
+kinds: email (local part), secret (passwords, tokens, access keys), ipv4, date, phone (three, three and four digits in
+any common writing, and numbers that begin with + and a country's code), card, iban, ssn.
 
 Edge cases: null text stays null with no finds; empty text stays empty; a value that fails its validation stays as it
 is; repeated rows are rewritten alike; columns of docs with the names of results are replaced.
@@ -21,13 +22,15 @@ from pyspark.sql import functions as F
 ROUNDS = 8  # even: both halves are back in their places
 
 # The formats looked for.
+_PHONE = r"(?:\+\d{0,3}|1)?[ .-]?\(?\d{3}(?:\)[ .-]?|[ .-])\d{3}[ .-]\d{4}"
+_WORLD_PHONE = r"\+(?:\d[ .()/-]{0,2}){7,14}\d"
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "secret": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|(?<=\bpassword=)[^\s\"'<>]{4,128}|(?<=\b(?:token|secret|api_key) = \")[^\s\"]{8,128}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ipv4": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![./-]?\d)",
-    "phone": r"(?<![\d-])\+?1?[ .-]?\(?[2-9]\d{2}\)?[ .-]\d{3}[ .-]\d{4}(?!-?\d)",
+    "phone": rf"(?<![\d-]){_PHONE}(?!-?\d)|(?<![\d+-]){_WORLD_PHONE}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!-?\d)",
     "card": r"(?<![\dA-Za-z])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\dA-Za-z])",
 }
@@ -151,12 +154,18 @@ def _date(v: Column, key: str) -> Column:
 
 
 def _phone(v: Column, key: str) -> Column:
-    """The first digits of area code and exchange stay, so that the number stays one; the other eight are permuted."""
+    """Which permutation a number has depends on its digits alone, so that it has one pseudonym in all its writings.
+
+    Ten digits, or 1 and ten: the first digits of area code and exchange stay, so that the number stays one; the other
+    eight are permuted. Of numbers of other countries the first digit stays.
+    """
     plain = F.regexp_replace(v, "[^0-9]", "")
     lead = F.length(plain) - 10
     at = lambda i, n: F.substring(plain, lead + i, F.lit(n))
     new = permuted(F.concat(at(2, 2), at(5, 6)), key, "phone")
-    return _in_place(v, F.concat(F.substring(plain, F.lit(1), lead), at(1, 1), F.substring(new, 1, 2), at(4, 1), F.substring(new, 3, 6)))
+    ten = F.concat(F.substring(plain, F.lit(1), lead), at(1, 1), F.substring(new, 1, 2), at(4, 1), F.substring(new, 3, 6))
+    world = F.concat(F.substring(plain, 1, 1), permuted(F.substring(plain, F.lit(2), F.length(plain)), key, "phone"))
+    return _in_place(v, F.when(~v.startswith("+") | plain.rlike(r"^1\d{10}$"), ten).otherwise(world))
 
 
 def _ssn(v: Column, key: str) -> Column:
@@ -177,7 +186,7 @@ def _email(v: Column, key: str) -> Column:
 
 _REWRITE = {"email": _email, "secret": _secret, "iban": _iban, "ipv4": _ipv4, "date": _date, "phone": _phone, "ssn": _ssn, "card": _card}
 #: Shapes that tell the kind of a found value, in the order they are asked.
-_SHAPES = [("email", "@"), ("ipv4", r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), ("date", r"^(\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[./]\d{2}[./]\d{4})$"), ("ssn", r"^\d{3}-\d{2}-\d{4}$"), ("iban", r"^[A-Z]{2}\d{2}[A-Z0-9 ]{11,}$"), ("card", r"^(\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})$"), ("phone", r"^\+?1?[ .-]?\(?[2-9]\d{2}\)?[ .-]\d{3}[ .-]\d{4}$")]
+_SHAPES = [("email", "@"), ("ipv4", r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), ("date", r"^(\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[./]\d{2}[./]\d{4})$"), ("ssn", r"^\d{3}-\d{2}-\d{4}$"), ("iban", r"^[A-Z]{2}\d{2}[A-Z0-9 ]{11,}$"), ("card", r"^(\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})$"), ("phone", rf"^(?:{_PHONE}|{_WORLD_PHONE})$")]
 
 
 def pseudonym(v: Column, key: str) -> Column:

@@ -171,6 +171,24 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert got[4]["text"] is None and got[5]["text"] == "" and got[1]["n_pseudonyms"] == 10
 
 
+PHONES = ["+1 (017) 555-7713", "(415)555-1234", "415.555.1234", "123-456-7890", "+1-415-555-1234", "+14155551234", "+49 30 1234567", "+49 (30) 123-4567", "+49301234567", "+44 20 7946 0958", "+33 1 23 45 67 89", "+2 (988) 555-2485"]
+
+
+def test_phones_of_all_formats(spark):
+    rows = [(i, f"call {p}, or not. {p}") for i, p in enumerate(PHONES)] + [(100, "+1 (415) 555-1234 2024-02-29 +1234567, 12345")]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(docs_of(spark, rows), "key").collect()}
+    new = [re.fullmatch(r"call (.*), or not. (.*)", got[i]["text"]) for i in range(len(PHONES))]
+    shape = lambda x: re.sub(r"\d", "0", x)
+    for i, p in enumerate(PHONES):
+        assert new[i][1] == new[i][2] != p and shape(new[i][1]) == shape(p) and got[i]["n_pseudonyms"] == 2
+    digits = [re.sub(r"\D", "", m[1]) for m in new]
+    assert digits[1] == digits[2] == digits[4][1:] == digits[5][1:] and digits[6] == digits[7] == digits[8]
+    body = feistel("17557713", "key", "phone")
+    assert digits[0] == "10" + body[:2] + "5" + body[2:]
+    assert digits[9] == "4" + feistel("42079460958", "key", "phone")
+    assert re.fullmatch(r"\+1 \(4\d\d\) 5\d\d-\d{4} \d{4}-\d\d-\d\d \+1234567, 12345", got[100]["text"])
+
+
 def test_permutations_are_one_to_one(spark):
     n = spark.range(319 * 229).select(pii.permuted_number(F.col("id"), "k", "date", 319, 229).alias("y"))
     assert n.distinct().count() == 319 * 229
