@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 ROUNDS = 8  # even: both halves are back in their places
 
 # The formats looked for.
+_PASSWORD, _TOKEN = "(?i:password=)", '(?i:(?:token|secret|api_key) = ")'
 _PHONE = r"(?:\+\d{0,3}|1)?[ .-]?\(?\d{3}(?:\)[ .-]?|[ .-])\d{3}[ .-]\d{4}"
 _WORLD_PHONE = r"\+(?:\d[ .()/-]{0,2}){7,14}\d"
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|(?<=\bpassword=)[^\s\"'<>]{4,128}|(?<=\b(?:token|secret|api_key) = \")[^\s\"]{8,128}",
+    "secret": rf"\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b|(?<=\b{_PASSWORD})[^\s\"'<>]{{4,}}|(?<=\b{_TOKEN})[^\s\"]{{8,}}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ipv4": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![./-]?\d)",
@@ -34,7 +35,7 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!-?\d)",
     "card": r"(?<![\dA-Za-z])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\dA-Za-z])",
 }
-_ORDER = ["email", "secret", "iban", "ipv4", "date", "phone", "ssn", "card"]
+_ORDER = ["secret", "email", "iban", "ipv4", "date", "phone", "ssn", "card"]
 #: The one group, of the card pattern, has this number in all patterns together.
 PATTERN = "|".join(PATTERNS[k] for k in _ORDER)
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
@@ -189,23 +190,24 @@ _REWRITE = {"email": _email, "secret": _secret, "iban": _iban, "ipv4": _ipv4, "d
 _SHAPES = [("email", "@"), ("ipv4", r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), ("date", r"^(\d{4}[-/]\d{2}[-/]\d{2}|\d{2}[./]\d{2}[./]\d{4})$"), ("ssn", r"^\d{3}-\d{2}-\d{4}$"), ("iban", r"^[A-Z]{2}\d{2}[A-Z0-9 ]{11,}$"), ("card", r"^(\d{13,19}|\d{4}([ -])\d{4}\2\d{4}\2\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})$"), ("phone", rf"^(?:{_PHONE}|{_WORLD_PHONE})$")]
 
 
-def pseudonym(v: Column, key: str) -> Column:
-    """The pseudonym of a found value, or the value itself where it isn't valid."""
+def pseudonym(v: Column, key: str, secret: Column) -> Column:
+    """The pseudonym of a found value, or the value itself where it isn't valid; a secret may look like any kind."""
     out = reduce(lambda rest, x: F.when(v.rlike(x[1]), _REWRITE[x[0]](v, key)).otherwise(rest), reversed(_SHAPES), _secret(v, key))
-    return F.coalesce(out, v)
+    return F.when(secret, _secret(v, key)).otherwise(F.coalesce(out, v))
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_pseudonyms") -> DataFrame:
     """docs with pseudonyms in text_col, and in count_col how many values were rewritten.
 
-    Only texts with a digit or @ are searched; only their found values go through the permutations.
+    Only texts with a digit, @ or the name of a secret are searched; only their found values go through the permutations.
     """
     text = F.col(f"`{text_col}`").cast("string")
     found, parts = "values of the text", "text between the values"
-    searched = text.rlike("[0-9@]|password=")
+    searched = text.rlike(f"[0-9@]|A[KS]IA|{_PASSWORD}|{_TOKEN}")
     docs = docs.withColumn(found, F.when(searched, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
     docs = docs.withColumn(parts, F.when(F.size(found) > 0, F.split(text, PATTERN, -1)))
-    new = F.transform(F.col(f"`{found}`"), lambda v: pseudonym(v, key))
+    secret = lambda i: F.right(F.get(F.col(f"`{parts}`"), i), F.lit(12)).rlike(rf"\b(?:{_PASSWORD}|{_TOKEN})$")
+    new = F.transform(F.col(f"`{found}`"), lambda v, i: pseudonym(v, key, secret(i)))
     docs = docs.withColumn(found, F.when(F.size(found) > 0, F.zip_with(F.col(f"`{found}`"), new, lambda a, b: F.struct(a.alias("old"), b.alias("new")))))
     joined = F.array_join(F.zip_with(F.col(f"`{parts}`"), F.col(f"`{found}`"), lambda p, v: F.concat(p, F.coalesce(v["new"], F.lit("")))), "")
     out = docs.withColumn(text_col, F.when(F.col(f"`{parts}`").isNull(), text).otherwise(joined))
