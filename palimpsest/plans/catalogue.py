@@ -152,16 +152,23 @@ def layered_search(spark, sf_dir):
 
 @query()
 def mmr(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("id"), "text", (F.col("n_chars") / 1000).alias("score"))
-    best = retrieval._top(rows, ["query_id"], 20, F.desc("score"), F.col("id"))
-    return retrieval.diversify(best, ["query_id"]).select("query_id", "position", "id")
+    """Every hundredth memory asked of its user's, three times the results fetched; texts are the documents of the same number."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("own"))
+    rows = vectors(spark, sf_dir)
+    queries = rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), "user_id", F.col("embedding").alias("query_embedding"))
+    found = retrieval.vector_candidates(rows, queries, 3 * SearchParams().max_results).select("query_id", "id", "text", F.col("vector_score").alias("score"))
+    found = found.join(docs, "id", "left").select("query_id", "id", F.coalesce("own", "text").alias("text"), "score")
+    return retrieval.diversify(found, ["query_id"]).select("query_id", "position", "id")
 
 
 @query()
 def content_dedup(spark, sf_dir):
+    from pyspark.sql import Window
+
     rows = table(spark, sf_dir, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("id"), "text")
-    best = retrieval._top(rows, ["query_id"], 30, F.col("id"))
-    return retrieval.dedup_content(best, ["query_id"], ["id"]).select("query_id", "position", "id")
+    kept = retrieval.distinct_contents(rows, "query_id", _cut(spark)).withColumnRenamed("grp", "query_id")
+    position = F.row_number().over(Window.partitionBy("query_id").orderBy("id")) - 1
+    return kept.select("query_id", position.cast("long").alias("position"), "id")
 
 
 @query(f"""WITH t AS (SELECT doc_id, source, {_WORDS.format('text')} AS ws FROM documents),

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from palimpsest import schemas
 from palimpsest.operators import answer, evaluate, hooks, ingest, retrieval, state, windows
 from palimpsest.params import SearchParams, SensoryParams, StateParams
+from palimpsest.plans import catalogue
 
 NOW = "2024-02-01 00:00:00"
+SF = "/root/testdata/sf0.01"
 
 
 def test_quotas():
@@ -202,3 +204,36 @@ def test_extracted(spark):
     rows = spark.createDataFrame([("s", 0, "user", "I like tea")], "s string, turn long, role string, content string")
     got = ingest.extracted(rows, ["s"], "turn", lambda c: '[{"content": "' + c + '", "memory_type": "preference"}]').collect()
     assert [(r["s"], r["content"], r["memory_type"]) for r in got] == [("s", "user: I like tea", "preference")]
+
+
+def test_content_dedup_of_whole_sources_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("source", "doc_id", "text").collect()
+    got = sorted((r["query_id"], r["position"], r["id"]) for r in catalogue.content_dedup(spark, SF).collect())
+    want = []
+    for source in {r["source"] for r in docs}:
+        own = sorted((r["doc_id"], r["text"]) for r in docs if r["source"] == source)
+        want += [(source, n, own[i][0]) for n, i in enumerate(retrieval.distinct_order([t for _, t in own], 0.85))]
+    assert got == sorted(want)
+
+
+def test_distinct_contents_of_large_groups_and_chains(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[i : i + 20]) for i in range(40)]  # each like its neighbour (19 of 21 words), not like the third
+    texts += [None, "", "...", *[f"copy of {i} words" for i in range(3)], *["copy of 0 words"] * 40, " ".join(words[:20]) + " w5"]
+    rows = [(g, 100 * g + i, t) for g in range(2) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "g long, id long, text string")
+    got = {(r["grp"], r["id"]) for r in retrieval.distinct_contents(df, "g", lambda x: x.checkpoint()).collect()}
+    assert got == {(g, 100 * g + i) for g in range(2) for i in retrieval.distinct_order(texts, 0.85)} and len(got) < 2 * 40
+
+
+def test_mmr_takes_the_overfetched_candidates(spark):
+    rows = [(r["vec_id"], r["label"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    cos = lambda x, y: sum(a * b for a, b in zip(x, y)) / (sum(a * a for a in x) ** 0.5 * sum(b * b for b in y) ** 0.5)
+    want = []
+    for q, label, v in rows:
+        if q % 100 == 0:
+            best = sorted((-cos(v, e), i) for i, other, e in rows if other == label)[:30]
+            order = retrieval.diverse_order([-s for s, _ in best], [docs.get(i) or f"memory {i}" for _, i in best], 0.7)
+            want += [(q, n, best[k][1]) for n, k in enumerate(order)]
+    assert sorted((r["query_id"], r["position"], r["id"]) for r in catalogue.mmr(spark, SF).collect()) == sorted(want)
