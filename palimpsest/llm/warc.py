@@ -4,6 +4,11 @@ Each response gives a metadata record (title, outlinks, the source's HTTP header
 conversion record (the page's whole text, a line a block). Both carry WARC-Refers-To, -Target-URI and -Date of the
 response; record ids are name-based UUIDs of the response's id, so a rerun after a lost executor gives the same ids.
 
+Before a payload is read, chunks and gzip or deflate codings are undone, and it is decoded by its byte order mark, the
+charset of its header or that of its meta element; without any as UTF-8, or windows-1252 where it isn't valid UTF-8.
+Digests are of the bytes as they came. A payload of another coding (br, zstd), or one that its coding can't undo, gives
+an empty page, and its metadata an `undecoded` field.
+
 Edge cases: null html is an empty payload; a null url leaves out the target URI; repeated pages give equal records;
 a block that is no HTTP response is taken as a payload without headers; an empty table gives no record.
 """
@@ -11,7 +16,9 @@ a block that is no HTTP response is taken as a payload without headers; an empty
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,6 +34,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .html_text import plain_text, read
 
 VERSION = b"WARC/1.1"
+_CHUNK = re.compile(rb"[ \t]*([0-9A-Fa-f]{1,8})[ \t]*(?:;[^\r\n]*)?\r\n")
+_HEADER_CHARSET = re.compile(r"(?i)\bcharset\s*=\s*[\"']?([\w.:-]+)")
+_META_CHARSET = re.compile(rb"(?i)<meta\b[^>]*?\bcharset\s*=\s*[\"']?([\w.:-]+)", re.ASCII)
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of URLs, RFC 9562
 
 
@@ -102,14 +112,95 @@ def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], payload
 
 
+def _values(http: list[tuple[str, str]], name: str) -> list[str]:
+    """The comma-separated values of a header, lower-case."""
+    return [x.strip().lower() for k, v in http if k.lower() == name for x in v.split(",") if x.strip()]
+
+
+def unchunked(data: bytes) -> bytes:
+    """data without the marks of its chunks; data itself where there are none (archives may have taken them out)."""
+    out, at = [], 0
+    while m := _CHUNK.match(data, at):
+        size = int(m[1], 16)
+        out.append(data[m.end() : m.end() + size])
+        if size == 0 or m.end() + size >= len(data):
+            return b"".join(out)
+        at = m.end() + size + 2
+    return b"".join(out) if out and at >= len(data) else data
+
+
+def uncoded(data: bytes, coding: str) -> bytes | None:
+    """data with a content coding undone, as far as the bytes go; None where it can't be."""
+    if coding == "identity" or not data:
+        return data
+    if coding in ("gzip", "x-gzip"):
+        if data[:2] != b"\x1f\x8b":
+            return data  # undone by the archive already
+        kinds = [31]
+    elif coding == "deflate":
+        kinds = [15, -15]
+    elif coding in ("br", "zstd", "compress", "x-compress"):
+        return data if data.lstrip()[:1] == b"<" else None
+    else:
+        return data  # no coding: servers send charsets and such
+    for bits in kinds:
+        out, rest = [], data
+        try:
+            while rest and (not out or rest[:2] == b"\x1f\x8b"):
+                z = zlib.decompressobj(bits)
+                for i in range(0, len(rest), 1 << 16):
+                    out.append(z.decompress(rest[i : i + (1 << 16)]))
+                    if z.eof:
+                        break
+                rest = z.unused_data + rest[i + (1 << 16) :]
+        except zlib.error:
+            pass
+        if any(out):
+            return b"".join(out)
+    return data if data.lstrip()[:1] == b"<" else None
+
+
+def _charset(label: str) -> str | None:
+    """Python's name of a charset; iso-8859-1 and ASCII are windows-1252 on the web."""
+    try:
+        found = codecs.lookup(label.strip("\"' "))
+    except (LookupError, ValueError):
+        return None
+    return None if not found._is_text_encoding else "cp1252" if found.name in ("iso8859-1", "ascii") else found.name
+
+
+def decoded(payload: bytes, http: list[tuple[str, str]]) -> tuple[str, str | None]:
+    """The text of a payload, and the coding that could not be undone."""
+    for coding in _values(http, "transfer-encoding")[::-1] + _values(http, "content-encoding")[::-1]:
+        undone = unchunked(payload) if coding == "chunked" else uncoded(payload, coding)
+        if undone is None:
+            return "", coding
+        payload = undone
+    for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")):
+        if payload.startswith(mark):
+            return payload[len(mark) :].decode(name, "replace"), None
+    header = next((m[1] for k, v in http if k.lower() == "content-type" and (m := _HEADER_CHARSET.search(v))), None)
+    name = _charset(header) if header else None
+    if name is None and (m := _META_CHARSET.search(payload, 0, 4096)):
+        name = _charset(m[1].decode("ascii"))
+        name = "utf-8" if name and name.startswith("utf-16") else name  # it was read as ASCII
+    if name is None:
+        try:
+            return payload.decode(), None
+        except UnicodeDecodeError:
+            name = "cp1252"
+    return payload.decode(name, "replace"), None
+
+
 def derive(source: Record, date: str) -> tuple[Record, Record]:
     """(metadata, conversion) of a response."""
     status, http, payload = http_parts(source.block)
-    page = read(payload.decode("utf-8", "replace"))
+    html, undone = decoded(payload, http)
+    page = read(html)
     rid, url = source.get("WARC-Record-ID") or "", source.get("WARC-Target-URI")
     link = [("WARC-Target-URI", url), ("WARC-Refers-To", rid), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", source.get("WARC-Date"))]
     fields = [("title", page.title), ("http-status", status)] + [(f"source-{k}".lower(), v) for k, v in http]
-    fields += [("source-block-digest", source.get("WARC-Block-Digest") or digest(source.block)), ("source-payload-digest", source.get("WARC-Payload-Digest") or digest(payload))]
+    fields += [("undecoded", undone), ("source-block-digest", source.get("WARC-Block-Digest") or digest(source.block)), ("source-payload-digest", source.get("WARC-Payload-Digest") or digest(payload))]
     for href in page.links:
         try:
             fields.append(("outlink", f"{urljoin(url or '', href.strip())} L a/@href"))

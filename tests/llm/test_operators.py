@@ -1,5 +1,6 @@
 """Each operator against brute force, and on nulls, empty and long texts, repeats, clashing columns and empty tables."""
 
+import gzip
 import hashlib
 import itertools
 import random
@@ -459,6 +460,42 @@ def test_warc_round_trip_and_links(spark, tables, tmp_path):
             assert b"source-content-type: text/html; charset=utf-8" in rec.block and b"outlink: http" in rec.block
 
 
+PAGE = "<html><head><title>Füße über {0}</title></head><body><p>Grüße aus Köln, {0} schöne Wörter stehen hier.</p><a href='/x'>é</a></body></html>"
+
+
+def chunked(data, size=7):
+    return b"".join(b"%x;a=b\r\n%s\r\n" % (len(data[i : i + size]), data[i : i + size]) for i in range(0, len(data), size)) + b"0\r\n\r\n"
+
+
+def test_warc_codings_and_charsets():
+    page, meta = PAGE.format("vier"), PAGE.format("vier").replace("<head>", '<head><meta http-equiv="Content-Type" content="text/html; charset=iso-8859-2">')
+    raw = zlib.compressobj(wbits=-15)
+    cases = [
+        (["Content-Type: text/html; charset=ISO-8859-1"], page.encode("latin-1")),
+        (['Content-Type: text/html; Charset="windows-1251"'], page.replace("ü", "щ").encode("cp1251", "replace")),
+        ([], meta.encode("iso-8859-2")),
+        ([], page.encode("cp1252")),
+        ([], page.encode("utf-16")),
+        (["Content-Type: text/html; charset=utf-8", "Content-Encoding: gzip"], gzip.compress(page[:40].encode()) + gzip.compress(page[40:].encode())),
+        (["Content-Encoding: deflate"], zlib.compress(page.encode())),
+        (["Content-Encoding: deflate"], raw.compress(page.encode()) + raw.flush()),
+        (["Transfer-Encoding: chunked"], chunked(page.encode())),
+        (["transfer-encoding: chunked", "content-encoding: GZIP", "content-type: text/html; charset=latin1"], chunked(gzip.compress(page.encode("latin-1")), 50)),
+        (["Transfer-Encoding: chunked", "Content-Encoding: gzip"], page.encode()),  # the archive has undone both
+        (["Content-Encoding: br"], page.encode()),
+        (["Content-Encoding: utf-8"], page.encode()),
+    ]
+    for k, (lines, payload) in enumerate(cases):
+        block = "\r\n".join(["HTTP/1.1 200 OK", *lines, "", ""]).encode() + payload
+        made, text = warc.derive(warc.record("response", "<urn:a>", "2024-01-01T00:00:00Z", "application/http", block, [("WARC-Target-URI", "http://a/b")]), "2024-01-01T00:00:00Z")
+        about, want = made.block.decode(), "щ" if k == 1 else "ü"
+        assert (f"title: F{want}" in about) and "outlink: http://a/x" in about and f"Gr{want}" in text.block.decode() and "\ufffd" not in about, k
+        assert f"source-payload-digest: {warc.digest(payload)}" in about and "undecoded" not in about
+    block = b"HTTP/1.1 200 OK\r\nContent-Encoding: br\r\n\r\n\x0b\x02\x80"
+    made, text = warc.derive(warc.record("response", "<urn:a>", "2024-01-01T00:00:00Z", "application/http", block, []), "2024-01-01T00:00:00Z")
+    assert b"undecoded: br" in made.block and text.block.strip() == b""
+
+
 def test_warc_edges(spark):
     block = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc"
     a, b = warc.response(None, block, "d", "k"), warc.record("warcinfo", "<x>", "d", "t", b"", [])
