@@ -45,6 +45,50 @@ def vector_candidates(memories: DataFrame, queries: DataFrame, k: int) -> DataFr
     return _top(rows, ["query_id"], k, F.desc("vector_score"), F.col("id"))
 
 
+def vector_search_all(memories: DataFrame, queries: DataFrame, k: int, least: float | None = None, block: int = 2048) -> DataFrame:
+    """query_id, id, score: the k memories most similar to each query, of all memories.
+
+    queries: query_id, query_embedding. A block of memories and one of queries are a task, which gives k rows a query.
+    """
+    import numpy as np
+
+    own = memories.where(F.col("embedding").isNotNull()).select("id", F.col("embedding").cast("array<double>"))
+    asked = queries.where(F.col("query_embedding").isNotNull()).select("query_id", F.col("query_embedding").cast("array<double>"))
+    n_own, n_asked = (max(1, -(-df.count() // block)) for df in (own, asked))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = own.withColumn("mb", deal("id", n_own)).withColumn("qb", every(n_asked))
+    asked = asked.withColumn("qb", deal("query_id", n_asked)).withColumn("mb", every(n_own))
+
+    def run(m: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(m):
+            ids, e = m["id"].to_numpy(), np.stack(m["embedding"].to_list())
+            norms = np.sqrt((e * e).sum(axis=1))
+            for i, v in zip(q["query_id"], q["query_embedding"]):
+                size = norms * np.sqrt((v * v).sum())
+                score = np.divide((e * v).sum(axis=1), size, out=np.zeros(len(e)), where=size > 0)
+                at = np.lexsort((ids, -score))[:k]
+                out.append(pd.DataFrame({"query_id": i, "id": ids[at], "score": score[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+
+    types = {c: df.schema[c].dataType.simpleString() for c, df in (("query_id", asked), ("id", own))}
+    rows = own.groupBy("mb", "qb").cogroup(asked.groupBy("mb", "qb")).applyInPandas(run, f"query_id {types['query_id']}, id {types['id']}, score double")
+    rows = rows.where(F.col("score") >= least) if least is not None else rows
+    return _top(rows, ["query_id"], k, F.desc("score"), F.col("id"))
+
+
+def keyword_search_all(memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, id, text_score: the k best of all memories that have all terms of each query (query_id, terms)."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))
+    asked = queries.select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("word"))
+    wanted = asked.select("word").distinct()
+    counts = memories.select("id", words.alias("word")).join(wanted, "word", "left_semi").groupBy("id", "word").agg(F.count("*").alias("f"))
+    rows = counts.join(asked, "word").groupBy("query_id", "id", "n").agg(F.count("*").alias("found"), F.sum(F.col("f") / (F.col("f") + 1)).alias("s"))
+    rows = rows.where("found = n").select("query_id", "id", (F.col("s") / F.col("n")).alias("text_score"))
+    return _top(rows, ["query_id"], k, F.desc(F.round("text_score", 9)), F.col("id"))  # rounded: sums come in any order
+
+
 def keyword_rank(terms: Column, words: Column) -> Column:
     """How densely the terms occur among a text's words, below 1: f / (f + 1) summed over terms and divided by their number.
 

@@ -89,13 +89,62 @@ def vector_candidates(spark, sf_dir):
     return retrieval.vector_candidates(rows, queries, 5).select("query_id", "id", F.round("vector_score", 6).alias("vector_score"))
 
 
+# The searches above and keyword_topk with every hundredth row as a query, against all rows.
+
+_ALL = f"s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COSINE} AS score, e.vec_id % 3 AS l FROM embeddings e CROSS JOIN embeddings q WHERE q.vec_id % 100 = 0)"
+_BEST = "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {0}"
+
+
+def _vector_queries(spark, sf_dir) -> DataFrame:
+    return vectors(spark, sf_dir).where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+
+
+@query(f"WITH {_ALL} SELECT query_id, id, round(score, 6) AS score FROM s {_BEST.format(20)}")
+def vector_topk_all(spark, sf_dir):
+    return retrieval.vector_search_all(vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 20).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_ALL} SELECT query_id, id, round(score, 6) AS score FROM s WHERE score >= 0.3 {_BEST.format(5)}")
+def similar_threshold_topk_all(spark, sf_dir):
+    return retrieval.vector_search_all(vectors(spark, sf_dir), _vector_queries(spark, sf_dir), 5, least=0.3).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_ALL} SELECT query_id, id, 'memory ' || id AS title, 'fact' AS memory_type, round(score, 6) AS score, ['canonical', 'episodic', 'semantic'][(l + 1)::INT] AS source FROM s {_BEST.format(15)}""")
+def compact_union_all(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    best = retrieval.vector_search_all(rows, _vector_queries(spark, sf_dir), 15).join(rows.select("id", "text", "memory_type", "layer"), "id")
+    return best.select("query_id", "id", F.left("text", F.lit(80)).alias("title"), "memory_type", F.round("score", 6).alias("score"), F.col("layer").alias("source"))
+
+
+@query(f"""WITH {_ALL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, l ORDER BY score DESC, id) AS n FROM s WHERE l < 2)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY l, n) - 1)::BIGINT AS position, id, round(score, 6) AS score FROM r WHERE n <= CASE l WHEN 0 THEN 6 ELSE 4 END""")
+def quota_search_all(spark, sf_dir):
+    from pyspark.sql import Window
+
+    queries, quotas = _vector_queries(spark, sf_dir), SearchParams().quotas(["canonical", "episodic"])
+    parts = [retrieval.vector_search_all(vectors(spark, sf_dir).where(F.col("layer") == name), queries, k).withColumn("layer_no", F.lit(n)) for n, (name, k) in enumerate(quotas.items())]
+    position = F.row_number().over(Window.partitionBy("query_id").orderBy("layer_no", F.desc("score"), "id")) - 1
+    return parts[0].unionByName(parts[1]).select("query_id", position.cast("long").alias("position"), "id", F.round("score", 6).alias("score"))
+
+
+@query("""WITH q AS (SELECT item_id AS query_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')), lambda w: len(w) >= 2) AS terms FROM benchmark),
+d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS ws FROM documents),
+m AS (SELECT query_id, id, terms, ws FROM d CROSS JOIN q WHERE len(terms) > 0 AND list_has_all(ws, terms)),
+s AS (SELECT query_id, id, list_sum([len(list_filter(ws, lambda w: w = t)) / (len(list_filter(ws, lambda w: w = t)) + 1) FOR t IN terms]) / len(terms) AS text_score FROM m)
+SELECT query_id, id, round(text_score, 6) AS text_score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(text_score, 9) DESC, id) <= 5""")
+def keyword_topk_all(spark, sf_dir):
+    terms = F.filter(txt.tokens(F.col("text")), lambda w: F.length(w) >= 2)
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), terms.alias("terms"))
+    return retrieval.keyword_search_all(_texts(spark, sf_dir), queries, 5).select("query_id", "id", F.round("text_score", 6).alias("text_score"))
+
+
 def _texts(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("id"), F.col("source").alias("user_id"), "text", F.col("lang").alias("memory_type"), F.lit(NOW).cast("timestamp").alias("created_at"), F.lit("{}").alias("metadata"), F.lit(None).cast("array<float>").alias("embedding"), F.lit("semantic").alias("layer"))
 
 
 def _keyword_queries(spark, sf_dir) -> DataFrame:
-    """The first three distinct words of each benchmark item, asked of every tenant of the item's remainder."""
+    """The first two distinct words of each benchmark item, asked of the one tenant of the item's remainder."""
     terms = F.slice(F.filter(txt.tokens(F.col("text")), lambda w: F.length(w) >= 2), 1, 2)
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("src"), F.pmod("item_id", F.lit(20))).alias("user_id"), terms.alias("terms"))
 

@@ -237,3 +237,18 @@ def test_mmr_takes_the_overfetched_candidates(spark):
             order = retrieval.diverse_order([-s for s, _ in best], [docs.get(i) or f"memory {i}" for _, i in best], 0.7)
             want += [(q, n, best[k][1]) for n, k in enumerate(order)]
     assert sorted((r["query_id"], r["position"], r["id"]) for r in catalogue.mmr(spark, SF).collect()) == sorted(want)
+
+
+def test_searches_of_all_queries_in_blocks(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([-1.0, 0.0, 1.0]) for _ in range(3)]) for i in range(90)] + [(90, None)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    asked = df.where("id % 10 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    got = {(r["query_id"], r["id"]) for r in retrieval.vector_search_all(df, asked, 7, block=4).collect()}
+    norm = lambda x: sum(a * a for a in x) ** 0.5
+    cos = lambda x, y: round(sum(a * b for a, b in zip(x, y)) / (norm(x) * norm(y)), 12) if norm(x) * norm(y) else 0.0
+    assert {q for q, _ in got} == set(range(0, 90, 10))
+    for q in range(0, 90, 10):
+        best = sorted((-cos(rows[q][1], v), i) for i, v in rows[:90])
+        own = [next(s for s, j in best if j == i) for a, i in got if a == q]
+        assert sorted(own) == [s for s, _ in best[:7]]
