@@ -52,6 +52,15 @@ def counted(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df with all rows of a key in one partition, for maps over partitions, which ask the planner for no distribution.
+
+    repartition(*keys) doesn't promise that: over a join on the same keys the planner takes the join's partitioning for
+    it and drops the exchange, and may then read that join locally or split its skew. By a hash of the keys it is kept.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string or binary column, without making Python strings; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected
-from .frames import counted, cut, map_text
+from .frames import counted, cut, dealt, map_text
 from .tokens import SPACED_LOWER, U, mix, shingle_sets, words
 
 BUCKET_BITS = 8
@@ -205,15 +205,15 @@ def _across(members: DataFrame, sig: DataFrame, sets: DataFrame, threshold: floa
     """
     sizes = members.groupBy("band", "component").agg(F.count("*").alias("size"))
     bands = sizes.groupBy("band").agg(F.count("*").alias("components"), F.sum("size").alias("members"), F.max(F.struct("size", "component")).alias("largest")).where("components > 1")
-    blocks = lambda rows: F.ceil(rows / F.lit(BLOCK)).cast("int")
-    bands = bands.select("band", F.col("largest.component").alias("main"), blocks(F.col("members")).alias("nd"), blocks(F.col("members") - F.col("largest.size")).alias("nq"))
+    needed = lambda rows: F.ceil(rows / F.lit(BLOCK)).cast("int")
+    bands = bands.select("band", F.col("largest.component").alias("main"), needed(F.col("members")).alias("nd"), needed(F.col("members") - F.col("largest.size")).alias("nq"))
     rows = members.join(bands, "band").join(sig, "id").join(sets.select("id", "fine"), "id")
     salt = lambda of, k: F.pmod(F.xxhash64("id", F.lit(k)), of).cast("int")
     each = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
     data = rows.withColumn("d", salt(F.col("nd"), 1)).withColumn("q", each(F.col("nq"))).withColumn("asks", F.lit(False))
     asks = rows.where("component <> main").withColumn("q", salt(F.col("nq"), 2)).withColumn("d", each(F.col("nd"))).withColumn("asks", F.lit(True))
     columns = ["band", "q", "d", "asks", "id", "component", "n", "registers", "fine"]
-    dealt = data.select(columns).unionByName(asks.select(columns)).repartition("band", "q", "d").sortWithinPartitions("band", "q", "d", "asks", "id")
+    blocks = dealt(data.select(columns).unionByName(asks.select(columns)), "band", "q", "d").sortWithinPartitions("band", "q", "d", "asks", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the block that may go on in the next batch
@@ -233,7 +233,7 @@ def _across(members: DataFrame, sig: DataFrame, sets: DataFrame, threshold: floa
             held = None if batch is None else whole.slice(int(cuts[last]))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return blocks.mapInArrow(run, "a long, b long").distinct()
 
 
 def _with_end(batches: Iterator) -> Iterator:

@@ -8,11 +8,12 @@ is out of the question, so strings that can be equal are brought together first:
    at the same offset, and the core, the LENGTH - REACH + 1 bytes from the anchor, in common. An anchor's region is all
    strings that it rules, as one run of bytes.
 2. Groups. Cores are counted; only what has a core that occurs twice goes on. Equal regions need no sorting: all their
-   strings are repeated, and one of them stands for all.
+   strings are repeated, and one of them stands for all. Regions count as equal if two 64-bit hashes agree, that of the
+   core and that of the whole; they have under 600 bytes.
 3. Suffix arrays. The different regions of a core are read as strings of BLOCK-byte symbols, lined up at the anchor,
    and their suffixes are sorted by linear grouping (grouping.py). A string that starts t bytes before a block is in
-   order by those t bytes and the rank of the suffix there; equal strings are neighbours, and a comparison of their bytes'
-   hashes settles it.
+   order by those t bytes and the rank of the suffix there; equal strings are neighbours, and a comparison of their bytes
+   settles it.
 4. A core with more than GROUP different regions is never gathered: its strings are dealt by ranges of their offset from
    the anchor, which all strings of a range share more bytes, and again by shorter ranges, down to one offset, where
    regions are equal or have nothing in common.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .frames import counted, cut, map_text, utf8
+from .frames import counted, cut, dealt, map_text, utf8
 from .grouping import suffix_array
 from .tokens import U, mix, prefix_hashes, spans
 
@@ -155,28 +156,32 @@ class Parts:
         by = np.lexsort((suffix, key))
         rest = spans(prefix, edge, start + LENGTH)
         same = (key[by][1:] == key[by][:-1]) & (rest[by][1:] == rest[by][:-1]) & (who[by][1:] != who[by][:-1])
+        a, b = start[by[:-1][same]], start[by[1:][same]]
+        strings = np.ndarray(max(0, len(self.data) - LENGTH + 1), f"V{LENGTH}", np.ascontiguousarray(self.data), strides=(1,))
+        bytes_of = lambda at: strings[at].view(np.uint8).reshape(len(at), LENGTH)
+        same[same] = np.concatenate([np.zeros(0, bool), *((bytes_of(a[k : k + 8192]) == bytes_of(b[k : k + 8192])).all(axis=1) for k in range(0, len(a), 8192))])
         hit = np.zeros(len(who), bool)
         hit[by[1:][same]] = hit[by[:-1][same]] = True
         return who[hit], offset[hit]
 
 
-_PART = "id_key long, text_key long, at int, far int, near int, gid long, whole long, bytes binary, alone boolean"
+_PART = "id_key long, text_key long, at int, far int, near int, gid long, whole long, bytes binary, alone boolean, size long"
 
 
 def _bytes_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """_PART rows for the wanted anchors (_PART without bytes), with the bytes of their regions."""
-    marks = F.sort_array(F.collect_list(F.struct("at", "far", "near", "gid", "whole", "alone"))).alias("marks")
+    marks = F.sort_array(F.collect_list(F.struct("at", "far", "near", "gid", "whole", "alone", "size"))).alias("marks")
     rows = texts.join(wanted.groupBy("id_key", "text_key").agg(marks), ["id_key", "text_key"]).select("id_key", "text_key", "text", "marks")
     start = F.col("m.at") - F.col("m.far")
     size = F.col("m.far") - F.col("m.near") + LENGTH
     out = rows.select("id_key", "text_key", F.col("text").cast("binary").alias("raw"), F.explode("marks").alias("m"))
-    return out.select("id_key", "text_key", "m.at", "m.far", "m.near", "m.gid", "m.whole", F.substring("raw", start + 1, size).alias("bytes"), "m.alone")
+    return out.select("id_key", "text_key", "m.at", "m.far", "m.near", "m.gid", "m.whole", F.substring("raw", start + 1, size).alias("bytes"), "m.alone", "m.size")
 
 
 def _sorted_groups(parts: DataFrame) -> DataFrame:
     """id_key, text_key, start, end of the repeated runs of the regions that are alone, by suffix arrays."""
     schema = T.StructType([T.StructField(k, T.LongType()) for k in ("id_key", "text_key", "start", "end")])
-    dealt = parts.repartition("gid").sortWithinPartitions("gid", "whole")
+    groups = dealt(parts, "gid").sortWithinPartitions("gid", "whole")
 
     def solve(rows: pa.Table) -> list[np.ndarray]:
         offsets, data = utf8(rows.column("bytes"))
@@ -212,7 +217,7 @@ def _sorted_groups(parts: DataFrame) -> DataFrame:
                 i = j
             held = rows.slice(int(cuts[-1])).to_batches() if batch is not None else []
 
-    return dealt.mapInArrow(run, schema)
+    return groups.mapInArrow(run, schema)
 
 
 def _with_end(batches: Iterator) -> Iterator:
@@ -242,7 +247,7 @@ def _dealt_out(parts: DataFrame, width: int) -> DataFrame:
                 raw = data.tobytes()
                 take = pa.array(who)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(new_far, pa.int32()), pa.array(new_near, pa.int32()), pa.array(gid.view(np.int64)), pa.array(whole.view(np.int64)), pa.array([raw[a:b] for a, b in zip(start.tolist(), end.tolist())], pa.binary()), batch.column(8).take(take)],
+                    [batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(new_far, pa.int32()), pa.array(new_near, pa.int32()), pa.array(gid.view(np.int64)), pa.array(whole.view(np.int64)), pa.array([raw[a:b] for a, b in zip(start.tolist(), end.tolist())], pa.binary()), batch.column(8).take(take), batch.column(9).take(take)],
                     schema=fields,
                 )
 
@@ -254,6 +259,12 @@ def _runs(rows: DataFrame) -> DataFrame:
     return rows.select("id_key", "text_key", (F.col("at") - F.col("far")).cast("long").alias("start"), (F.col("at") - F.col("near") + LENGTH).cast("long").alias("end"))
 
 
+def _open_groups(copies: DataFrame) -> DataFrame:
+    """gid and size of the groups of several regions, one of which has no copy yet."""
+    single = F.max((F.col("copies") == 1) & F.col("some_alone")).alias("open")
+    return cut(copies.groupBy("gid").agg(F.count("*").alias("size"), single).where("size > 1 and open").select("gid", "size"))
+
+
 def repeated_runs(anchors: DataFrame, texts_of) -> tuple[DataFrame | None, DataFrame]:
     """Texts with repeated cores, and the runs (id_key, text_key, start, end) that go."""
     # Stored first: a join of two shuffles, neither of which is the aggregate's own, can split a core that all texts have.
@@ -265,20 +276,20 @@ def repeated_runs(anchors: DataFrame, texts_of) -> tuple[DataFrame | None, DataF
     runs = [_runs(rows.where("not mixed"))]
     counts = cut(counts)
     runs.append(_runs(rows.where("mixed").join(counts.where("copies > 1").select("core", "whole"), ["core", "whole"], "left_semi")))
-    wanted = counts.select("one.*", F.col("core").alias("gid"), "whole", (F.col("copies") == 1).alias("alone"))
+    # Sizes come before bytes: what has no partner to be sorted with is never gathered.
+    sizes = _open_groups(counts.select(F.col("core").alias("gid"), F.lit(True).alias("some_alone"), "copies"))
+    wanted = counts.withColumnRenamed("core", "gid").join(sizes, "gid").select("one.*", "gid", "whole", (F.col("copies") == 1).alias("alone"), "size")
     parts = cut(_bytes_of(texts, wanted))
     for width in (*RANGES, None):
-        sizes = parts.groupBy("gid").agg(F.count("*").alias("size"), F.max("alone").alias("open")).where("size > 1 and open")
-        runs.append(_sorted_groups(parts.join(sizes.where(F.col("size") <= GROUP).select("gid"), "gid", "left_semi")))
-        large = parts.join(sizes.where(F.col("size") > GROUP).select("gid"), "gid", "left_semi")
-        if width is None or not sizes.where(F.col("size") > GROUP).take(1):
+        runs.append(_sorted_groups(parts.where(F.col("size") <= GROUP)))
+        large = parts.where(F.col("size") > GROUP)
+        if width is None or not large.take(1):
             break
-        dealt = cut(_dealt_out(large, width))
-        copies = dealt.groupBy("gid", "whole").agg(F.count("*").alias("copies"), F.max("alone").alias("some_alone"), F.min(F.struct("id_key", "text_key", "at", "far", "near")).alias("one"))
-        copies = cut(copies)
-        runs.append(_runs(dealt.where("alone").join(copies.where("copies > 1").select("gid", "whole"), ["gid", "whole"], "left_semi")))
-        ones = copies.select("gid", "whole", F.col("one.id_key"), F.col("one.text_key"), F.col("one.at"), (F.col("copies") == 1).alias("single"))
-        parts = cut(dealt.join(ones, ["gid", "whole", "id_key", "text_key", "at"]).select("id_key", "text_key", "at", "far", "near", "gid", "whole", "bytes", (F.col("alone") & F.col("single")).alias("alone")))
+        ranges = cut(_dealt_out(large, width).drop("size"))
+        copies = cut(ranges.groupBy("gid", "whole").agg(F.count("*").alias("copies"), F.max("alone").alias("some_alone"), F.min(F.struct("id_key", "text_key", "at", "far", "near")).alias("one")))
+        runs.append(_runs(ranges.where("alone").join(copies.where("copies > 1").select("gid", "whole"), ["gid", "whole"], "left_semi")))
+        ones = copies.join(_open_groups(copies), "gid").select("gid", "whole", F.col("one.id_key"), F.col("one.text_key"), F.col("one.at"), (F.col("copies") == 1).alias("single"), "size")
+        parts = cut(ranges.join(ones, ["gid", "whole", "id_key", "text_key", "at"]).select("id_key", "text_key", "at", "far", "near", "gid", "whole", "bytes", (F.col("alone") & F.col("single")).alias("alone"), "size"))
     out = runs[0]
     for r in runs[1:]:
         out = out.unionByName(r)
