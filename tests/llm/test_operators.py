@@ -283,6 +283,57 @@ def test_html_extraction():
     assert html_text.extract("<main><p>x</p>" + "<div><p>y</p>" * 300 + "</main>").count("y") == 300
 
 
+def test_html_windows_by_definition():
+    """A line is kept where no window of three lines over it is empty, or it has a length, in a run that reaches the rise."""
+
+    def expected(lengths, rise):
+        n, w = len(lengths), html_text.WINDOW
+        windows = [range(i, i + w) for i in range(n - w + 1)] or [range(n)]
+        on = [lengths[k] > 0 or not any(k in win and not sum(lengths[x] for x in win) for win in windows) for k in range(n)]
+        on = [o and any(lengths) for o in on]
+        out, k = [False] * n, 0
+        while k < n:
+            j = k
+            while j < n and on[j]:
+                j += 1
+            best = max((sum(lengths[max(k, x - w + 1) : min(j, x + 1)]) for x in range(k, j + w - 1)), default=0) if j > k else 0
+            for x in range(k, j):
+                out[x] = best >= rise
+            k = max(j, k + 1)
+        return out
+
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        n = int(rng.integers(0, 14))
+        lengths = rng.choice([0, 0, 5, 20, 45, 90], n)
+        for rise in (1, html_text.RISE):
+            assert html_text.runs(lengths, rise).tolist() == expected(lengths.tolist(), rise)
+
+
+def test_html_names_are_hints():
+    long = "the text of the story goes on and on " * 4
+    promo = f'<body><article class="story promo"><p>{long}</p></article><div><p>{long.upper()}</p></div></body>'
+    assert html_text.extract(promo) == long.strip()
+    inner = f'<article><p>One.</p><div class="share-of-market"><p>{long}</p></div><div class="share">tweet it</div><section class="post-comments"><p>{long}</p></section><p>Two.</p></article>'
+    assert html_text.extract(inner) == f"One. {long.strip()} Two."
+    assert html_text.extract(f'<div class="widget"><p>{long}</p></div>') == long.strip()  # nothing else on the page
+    assert html_text.extract(f'<div class="has-sidebar"><p>{long}</p><div class="sidebar"><p>{long.upper()}</p></div></div>') == long.strip()
+    links = "".join(f"<li><a href=/{k}>Another story {k}</a></li>" for k in range(5))
+    assert html_text.extract(f"<article><p>One.</p><ul>{links}</ul><p>Two.</p><p><a href=/z>Three.</a></p><p>Four.</p></article>") == "One. Two. Three. Four."
+    teasers = "".join(f"<article><h2><a href=/{k}>Teaser {k}</a></h2></article>" for k in range(2))
+    assert html_text.extract(f"<body><div><p>{long}</p><p>{long.upper()}</p></div>{teasers}</body>") == f"{long.strip()} {long.strip().upper()}"
+
+
+def test_html_reads_any_markup_in_linear_time():
+    import time
+
+    for page in ("<a " * 350_000, '<a "x ' * 170_000, "<div>" * 90_000 + "</x>" * 90_000, "<b>" + "<div>" * 80_000 + "</b>" * 80_000, '<a x="' * 160_000, "<article>" * 90_000, "<b>" * 80_000 + "<div></div>" * 40_000, "<" * 900_000):
+        begun = time.time()
+        html_text.extract(page)
+        assert time.time() - begun < 20, page[:10]
+    assert html_text.extract("<p>a < b and c</p><p title='x > y'>d</p><p title=\"e>f</p>") == "a < b and c d f"
+
+
 def test_html_edges(spark, tables):
     df = spark.createDataFrame([(1, None), (2, ""), (2, "<p>é</p>")], "page_id long, html string").withColumn("text", F.lit("mine"))
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract_text(df, keep=["page_id"]).collect()) == [(1, "", 0), (2, "", 0), (2, "é", 1)]
