@@ -10,7 +10,8 @@ Digests are of the bytes as they came. A payload of another coding (br, zstd), o
 an empty page, and its metadata an `undecoded` field.
 
 Edge cases: null html is an empty payload; a null url leaves out the target URI; repeated pages give equal records;
-a block that is no HTTP response is taken as a payload without headers; an empty table gives no record.
+a block that is no HTTP response is taken as a payload without headers; a record that is cut off or has no valid length
+gives no derivative (read_warc gives its fault); an empty table gives no record.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .html_text import plain_text, read
 
 VERSION = b"WARC/1.1"
+_LENGTH = re.compile(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$")
+_START = re.compile(rb"WARC/\d+\.\d+\r\n")
 _CHUNK = re.compile(rb"[ \t]*([0-9A-Fa-f]{1,8})[ \t]*(?:;[^\r\n]*)?\r\n")
 _HEADER_CHARSET = re.compile(r"(?i)\bcharset\s*=\s*[\"']?([\w.:-]+)")
 _META_CHARSET = re.compile(rb"(?i)<meta\b[^>]*?\bcharset\s*=\s*[\"']?([\w.:-]+)", re.ASCII)
@@ -76,30 +79,49 @@ def response(url: str | None, payload: bytes, date: str, key: str) -> Record:
     return record("response", record_id("response", key, digest(payload)), date, "application/http; msgtype=response", http + payload, [("WARC-Target-URI", url), ("WARC-Payload-Digest", digest(payload))])
 
 
-def parse(data: bytes) -> Iterator[Record]:
-    """The records of a WARC file's bytes; a record ends where its Content-Length says, whatever its block holds."""
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
+def parse(data: bytes, faults: list[str] | None = None) -> Iterator[Record]:
+    """The records of a WARC file's bytes; a record ends where its Content-Length says, whatever its block holds.
+
+    A record that is cut off or whose length isn't a number is left out, its fault is added to faults, and reading goes
+    on with the next start of a record.
+    """
+    faults, at = [] if faults is None else faults, 0
+    while m := _START.search(data, at):
+        end = data.find(b"\r\n\r\n", m.start())
+        if end < 0:
+            faults.append("header cut off")
+            return
         headers: list[tuple[str, str]] = []
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            if line[:1] in " \t" and headers:  # folded
+        for line in data[m.end() : end].decode("utf-8", "replace").split("\r\n"):
+            if line[:1] in (" ", "\t") and headers:  # folded
                 headers[-1] = headers[-1][0], f"{headers[-1][1]} {line.strip()}"
-            else:
+            elif line:
                 name, _, value = line.partition(":")
                 headers.append((name.strip(), value.strip()))
-        size = int(next((v for k, v in headers if k.lower() == "content-length"), "0"))
-        yield Record(headers, data[end + 4 : end + 4 + size])
-        at = end + 4 + size
+        size, at = next((v for k, v in headers if k.lower() == "content-length"), ""), end + 4
+        if not (size.isascii() and size.isdigit()):
+            faults.append("no valid Content-Length")
+        elif len(data) < at + int(size):
+            faults.append("block cut off")
+        else:
+            yield Record(headers, data[at : at + int(size)])
+            at += int(size)
 
 
 def inflate(data: bytes) -> bytes:
-    """data, or what its gzip members hold."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
+    """data, or what its gzip members hold; of a damaged member what comes before the damage."""
+    out, at = [], 0
+    while (at := data.find(b"\x1f\x8b\x08", at) if out else 0 if data[:2] == b"\x1f\x8b" else -1) >= 0:
         z = zlib.decompressobj(31)
-        out.append(z.decompress(data) + z.flush())
-        data = z.unused_data
+        try:
+            for i in range(at, len(data), 1 << 16):
+                out.append(z.decompress(data[i : i + (1 << 16)]))
+                if z.eof:
+                    break
+            at = min(len(data), i + (1 << 16)) - len(z.unused_data) if z.eof else len(data)
+        except zlib.error:
+            out.append(b"")
+            at += 3
     return b"".join(out) if out else data
 
 
@@ -257,17 +279,50 @@ def derivatives(records: DataFrame, date: str, keep: str, record_col: str = "rec
     return records.mapInArrow(run, schema)
 
 
+#: What stands between records, and the first bytes of the next.
+_BETWEEN = b"\r\n\r\nWARC/1."
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """path, record (bytes) of every record of the WARC files at path, gzip or plain; a file is held by one task."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """path, record (bytes), fault of every record of the WARC files at path, gzip or plain.
+
+    Records are read one after another and never a file at once; plain files are split between tasks. A block that holds
+    what looks like a record's start is put together again by its length. A record that is cut off or has no valid length
+    gives a row with its fault and no record, so that faults can be counted; a damaged gzip file ends at the damage, give or
+    take the reader's buffer of 64 kB, and Spark's log names it.
+    """
+    reader = spark.read.option("lineSep", _BETWEEN.decode()).option("ignoreCorruptFiles", "true")
+    pieces = reader.text(path).select("_metadata.file_path", F.col("value").cast("binary"))
+
+    def size(piece: bytes) -> int | None:
+        end = piece.find(b"\r\n\r\n")
+        m = _LENGTH.search(piece, 0, end + 2) if end >= 0 else None
+        return end + 4 + int(m[1]) if m else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for r in parse(inflate(data.as_py())):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([r.to_bytes()], pa.binary())], names=["path", "record"])
+        name, parts, have, need = None, [], 0, None
 
-    return files.mapInArrow(run, "path string, record binary")
+        def given() -> pa.RecordBatch:
+            faults: list[str] = []
+            found = [r.to_bytes() for r in parse(b"".join(parts), faults)] if any(p.strip() for p in parts) else []
+            if not found and not faults and any(p.strip() for p in parts):
+                faults = ["no record"]
+            return pa.RecordBatch.from_arrays([pa.array([name] * (len(found) + len(faults)), pa.string()), pa.array(found + [None] * len(faults), pa.binary()), pa.array([None] * len(found) + faults, pa.string())], names=["path", "record", "fault"])
+
+        for batch in batches:
+            for file, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if file == name and need is not None and have + len(b"\r\n\r\n") <= need:
+                    parts.append(_BETWEEN + piece)  # the block goes on
+                    have += len(parts[-1])
+                    continue
+                if parts:
+                    yield given()
+                piece = piece if piece.startswith(b"WARC/") else _BETWEEN[4:] + piece
+                name, parts, have, need = file, [piece], len(piece), size(piece)
+        if parts:
+            yield given()
+
+    return pieces.mapInArrow(run, "path string, record binary, fault string")
 
 
 def write_warc(records: DataFrame, path: str, record_col: str = "record") -> None:

@@ -511,6 +511,35 @@ def test_warc_round_trip_and_links(spark, tables, tmp_path):
             assert b"source-content-type: text/html; charset=utf-8" in rec.block and b"outlink: http" in rec.block
 
 
+def test_warc_faults_are_skipped_and_counted(spark, tmp_path):
+    good = [warc.response(f"http://x/{k}", b"<p>page %d</p>" % k + b"\r\n\r\nWARC/1.1\r\nno record" * (k == 1), "2024-01-01T00:00:00Z", str(k)).to_bytes() for k in range(4)]
+    faults = []
+    assert [r.to_bytes() for r in warc.parse(good[0] + good[1] + good[2][:-20], faults)] == good[:2] and faults == ["block cut off"]
+    faults.clear()
+    assert list(warc.parse(good[0][:40], faults)) == [] and faults == ["header cut off"] and list(warc.parse(b"")) == []
+    head, block = good[0].split(b"\r\n\r\n", 1)
+    lines = [x if not x.startswith(b"Content-Length") else b"Content-Length: many" for x in head.split(b"\r\n")]
+    wrong = b"\r\n".join(lines) + b"\r\n\r\n" + block
+    faults.clear()
+    assert [r.to_bytes() for r in warc.parse(wrong + good[2], faults)] == [good[2]] and faults == ["no valid Content-Length"]
+    damaged = bytearray(gzip.compress(b"two" * 999))
+    damaged[12:20] = b"\xff" * 8
+    assert warc.inflate(gzip.compress(b"one") + bytes(damaged) + gzip.compress(b"three")).startswith(b"one") and warc.inflate(b"plain") == b"plain" and warc.inflate(b"") == b""
+
+    (tmp_path / "a.warc").write_bytes(good[0] + good[1] + wrong + good[2])
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(good[0]) + gzip.compress(good[1]) + gzip.compress(good[3][:-30]))
+    (tmp_path / "c.warc").write_bytes(b"")
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    got = {n: [bytes(r["record"]) for r in rows if r["path"].endswith(n) and r["fault"] is None] for n in ("a.warc", "b.warc.gz")}
+    assert sorted(got["a.warc"]) == sorted(good[:3]) and sorted(got["b.warc.gz"]) == sorted(good[:2])
+    assert sorted(r["fault"] for r in rows if r["fault"]) == ["block cut off", "no valid Content-Length"]
+    (tmp_path / "d.warc.gz").write_bytes(gzip.compress(good[0]) + gzip.compress(good[1])[:30])
+    rows = warc.read_warc(spark, str(tmp_path)).where("fault is null").collect()  # a damaged file ends early, the others don't
+    assert sorted(bytes(r["record"]) for r in rows if not r["path"].endswith("d.warc.gz")) == sorted(good[:3] + good[:2])
+    bad = spark.createDataFrame([(1, bytearray(wrong)), (2, bytearray(good[2][:60])), (3, None), (4, bytearray(good[2]))], "k long, record binary")
+    assert [r["k"] for r in warc.derivatives(bad, "2024-01-01T00:00:00Z", keep="k").collect()] == [4, 4]
+
+
 PAGE = "<html><head><title>Füße über {0}</title></head><body><p>Grüße aus Köln, {0} schöne Wörter stehen hier.</p><a href='/x'>é</a></body></html>"
 
 
