@@ -3,13 +3,17 @@
 Found values are validated (Luhn for cards, mod 97 for IBANs, octets for IPv4, the calendar for dates, the ranges of
 social security numbers) and permuted within their format: every digit stays a digit, every letter a letter of its case, the check
 digits hold again, a date stays a date of its format. The permutation depends on the key and the kind alone, so equal
-values have equal pseudonyms in all documents, and different values different ones.
+values have equal pseudonyms in all documents, and different values of a kind different ones. Phones, addresses and days
+count as equal when they are the same number, address or day in other writings; days written dd/MM that can't be MM/dd
+are permuted among themselves, as both look alike.
 
-kinds: email (local part), secret (passwords, tokens, access keys), ipv4, date, phone (three, three and four digits in
+kinds: email (local part), secret (what follows the name of a password, token or key, and tokens told by their own
+first letters), ipv4, date, phone (three, three and four digits in
 any common writing, and numbers that begin with + and a country's code), card, iban, ssn.
 
 Edge cases: null text stays null with no finds; empty text stays empty; a value that fails its validation stays as it
-is; repeated rows are rewritten alike; columns of docs with the names of results are replaced.
+is; a secret may have any length; after names other than `password=` and `token = "`, `secret = "`, `api_key = "` it must
+have a digit, or prose would count; repeated rows are rewritten alike; columns of docs with the names of results are replaced.
 """
 
 from __future__ import annotations
@@ -23,11 +27,14 @@ ROUNDS = 8  # even: both halves are back in their places
 
 # The formats looked for.
 _PASSWORD, _TOKEN = "(?i:password=)", '(?i:(?:token|secret|api_key) = ")'
+_NAMES = "(?:pass(?:word|wd|phrase|code)|pwd|secret(?:[_-]?key)?|(?:api|access|private|client|auth)[_-]?(?:key|token|secret)|(?:auth|bearer)?[_-]?token)"
+_NAMED = rf"(?<![A-Za-z])(?!(?<!\w){_PASSWORD}[^\s\"'<>]{{4}}|(?<!\w){_TOKEN}[^\s\"]{{8}})(?i:{_NAMES})[\"']?\s{{0,2}}(?:[:=]|=>)\s{{0,2}}"
+_KNOWN = "A[KS]IA|gh[pousr]_|github_pat_|glpat-|sk-|xox[abprs]-|eyJ"
 _PHONE = r"(?:\+\d{0,3}|1)?[ .-]?\(?\d{3}(?:\)[ .-]?|[ .-])\d{3}[ .-]\d{4}"
 _WORLD_PHONE = r"\+(?:\d[ .()/-]{0,2}){7,14}\d"
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": rf"\b(?:AKIA|ASIA)[A-Z0-9]{{16}}\b|(?<=\b{_PASSWORD})[^\s\"'<>]{{4,}}|(?<=\b{_TOKEN})[^\s\"]{{8,}}",
+    "secret": rf"\bA[KS]IA[A-Z0-9]{{16}}\b|\b(?:gh[pousr]_|github_pat_|glpat-|sk-|xox[abprs]-)[\w-]{{16,}}|\beyJ[\w-]{{8,}}\.[\w-]{{8,}}\.[\w-]{{8,}}|{_NAMED}(?:\"(?=[^\"\n]*\d)[^\"\n]{{6,}}\"|'(?=[^'\n]*\d)[^'\n]{{6,}}'|(?=[^\s\"'<>]*\d)[^\s\"'<>]{{6,}})|(?<=\b{_PASSWORD})[^\s\"'<>]{{4,}}|(?<=\b{_TOKEN})[^\s\"]{{8,}}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ipv4": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![./-]?\d)",
@@ -137,18 +144,28 @@ def _ipv4(v: Column, key: str) -> Column:
     octets = F.transform(F.split(v, r"\."), lambda o: o.cast("long"))
     number = F.aggregate(octets, F.lit(0).cast("long"), lambda t, o: t * 256 + o)
     new = permuted_number(number, key, "ipv4", 65536, 65536)
-    octet = lambda k: F.pmod(F.floor(new / 256**k), F.lit(256)).cast("int").cast("string")
+    at = lambda k: F.get(F.split(v, r"\."), F.lit(3 - k))
+    plain = lambda k: F.pmod(F.floor(new / 256**k), F.lit(256)).cast("int").cast("string")
+    octet = lambda k: F.when(at(k).rlike("^0.") & (F.length(plain(k)) < F.length(at(k))), F.lpad(plain(k), F.length(at(k)), F.lit("0"))).otherwise(plain(k))
     return F.when(F.forall(octets, lambda o: o <= 255), F.concat_ws(".", *[octet(k) for k in (3, 2, 1, 0)]))
 
 
 def _date(v: Column, key: str) -> Column:
+    first = F.lit(_FIRST_DAY).cast("date")
+
     def one(form: str) -> Column:
         day = F.try_to_timestamp(v, F.lit(form)).cast("date")
-        x = F.datediff(day, F.lit(_FIRST_DAY).cast("date")).cast("long")
-        new = permuted_number(x, key, "date", _DAY_A, _DAY_B)
-        for _ in range(2):  # two of the 73051 numbers are no day: two steps on lead back to one
-            new = F.when(new < _DAYS, new).otherwise(permuted_number(new, key, "date", _DAY_A, _DAY_B))
-        return F.when((x >= 0) & (x < _DAYS), F.date_format(F.date_add(F.lit(_FIRST_DAY).cast("date"), new.cast("int")), form))
+        x = F.datediff(day, first).cast("long")
+        late = lambda n: (n < _DAYS) & (F.dayofmonth(F.date_add(first, n.cast("int"))) > 12)
+        fits, steps = (late, 60) if form == "dd/MM/yyyy" else (lambda n: n < _DAYS, 3)  # of 73051 numbers two are no day, and 0.61 a late day
+
+        def step(acc: Column, _: Column) -> Column:
+            new = permuted_number(acc["n"], key, "date", _DAY_A, _DAY_B)
+            return F.when(acc["done"], acc).otherwise(F.struct(new.alias("n"), fits(new).alias("done")))
+
+        # Permuted until it is a day of its kind again: a permutation of those days.
+        new = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(x.alias("n"), F.lit(False).alias("done")), step, lambda acc: acc["n"])
+        return F.when((x >= 0) & (x < _DAYS), F.date_format(F.date_add(first, new.cast("int")), form))
 
     shapes = [r"^\d{4}-", r"^\d{4}/", r"^\d{2}\.", r"^\d{2}/", r"^\d{2}/"]
     return F.coalesce(*[F.when(v.rlike(s), one(f)) for s, f in zip(shapes, _DATE_FORMATS)])
@@ -174,11 +191,14 @@ def _ssn(v: Column, key: str) -> Column:
     return F.when(good, _in_place(v, permuted(F.regexp_replace(v, "-", ""), key, "ssn")))
 
 
-def _secret(v: Column, key: str) -> Column:
-    keep = F.when(v.rlike("^A[KS]IA"), 4).otherwise(0)
-    rest = F.substring(v, keep + 1, F.length(v))
-    new = F.when(v.rlike("^[0-9a-f]+$"), permuted(rest, key, "secret", [_HEX])).otherwise(permuted(rest, key, "secret"))
-    return F.concat(F.substring(v, F.lit(1), keep), new)
+def _secret(v: Column, key: str, known: str = f"^(?:{_KNOWN})") -> Column:
+    """The first letters that tell a kind of token stay; of a name and its value only what stands in the quotes goes."""
+    lead = F.regexp_extract(v, known, 0)
+    rest = F.substring(v, F.length(lead) + 1, F.length(v))
+    close = F.when(lead.rlike("[\"']$"), F.right(v, F.lit(1))).otherwise(F.lit(""))
+    rest = F.substring(rest, F.lit(1), F.length(rest) - F.length(close))
+    new = F.when(rest.rlike("^[0-9a-f]+$"), permuted(rest, key, "secret", [_HEX])).otherwise(permuted(rest, key, "secret"))
+    return F.concat(lead, new, close)
 
 
 def _email(v: Column, key: str) -> Column:
@@ -191,9 +211,13 @@ _SHAPES = [("email", "@"), ("ipv4", r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), ("
 
 
 def pseudonym(v: Column, key: str, secret: Column) -> Column:
-    """The pseudonym of a found value, or the value itself where it isn't valid; a secret may look like any kind."""
+    """The pseudonym of a found value, or the value itself where it isn't valid; a secret may look like any kind.
+
+    secret: whether the name of a secret stands before the value, which is then a secret whatever it looks like.
+    """
     out = reduce(lambda rest, x: F.when(v.rlike(x[1]), _REWRITE[x[0]](v, key)).otherwise(rest), reversed(_SHAPES), _secret(v, key))
-    return F.when(secret, _secret(v, key)).otherwise(F.coalesce(out, v))
+    out = F.when(v.rlike(f"^{_NAMED}"), _secret(v, key, f"^{_NAMED}[\"']?")).otherwise(F.coalesce(out, v))
+    return F.when(secret, _secret(v, key, "^$")).otherwise(out)
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_pseudonyms") -> DataFrame:
@@ -203,7 +227,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     """
     text = F.col(f"`{text_col}`").cast("string")
     found, parts = "values of the text", "text between the values"
-    searched = text.rlike(f"[0-9@]|A[KS]IA|{_PASSWORD}|{_TOKEN}")
+    searched = text.rlike(f"[0-9@]|{_KNOWN}|{_PASSWORD}|{_TOKEN}")
     docs = docs.withColumn(found, F.when(searched, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
     docs = docs.withColumn(parts, F.when(F.size(found) > 0, F.split(text, PATTERN, -1)))
     secret = lambda i: F.right(F.get(F.col(f"`{parts}`"), i), F.lit(12)).rlike(rf"\b(?:{_PASSWORD}|{_TOKEN})$")
