@@ -28,7 +28,7 @@ ROUNDS = 8  # even: both halves are back in their places
 # The formats looked for.
 _PASSWORD, _TOKEN = "(?i:password=)", '(?i:(?:token|secret|api_key) = ")'
 _NAMES = "(?:pass(?:word|wd|phrase|code)|pwd|secret(?:[_-]?key)?|(?:api|access|private|client|auth)[_-]?(?:key|token|secret)|(?:auth|bearer)?[_-]?token)"
-_NAMED = rf"(?<![A-Za-z])(?!(?<!\w){_PASSWORD}[^\s\"'<>]{{4}}|(?<!\w){_TOKEN}[^\s\"]{{8}})(?i:{_NAMES})[\"']?\s{{0,2}}(?:[:=]|=>)\s{{0,2}}"
+_NAMED = rf"(?<![A-Za-z])(?!(?<!\w){_PASSWORD}[^\s\"'<>]{{4}}|(?<!\w){_TOKEN}[^\s\"]{{8}})(?i:{_NAMES})[\"']?\s{{0,2}}(?:=>|[:=])\s{{0,2}}"
 _KNOWN = "A[KS]IA|gh[pousr]_|github_pat_|glpat-|sk-|xox[abprs]-|eyJ"
 _PHONE = r"(?:\+\d{0,3}|1)?[ .-]?\(?\d{3}(?:\)[ .-]?|[ .-])\d{3}[ .-]\d{4}"
 _WORLD_PHONE = r"\+(?:\d[ .()/-]{0,2}){7,14}\d"
