@@ -20,6 +20,7 @@ without labels of both kinds every score is 0.5; columns of docs with the names
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 
 from .frames import map_text, pieces, utf8
 from .labelled import crc_mod, sample
-from .tokens import SPACED_LOWER, Words, words
+from .tokens import SPACED_LOWER, Words, prefix_hashes, spans, words
 
 SPAN, DECAY = 7, 0.7
 PREDICT_FROM = 0.7
@@ -156,6 +157,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.clip(decision, *SCALED) + self.shift, -30, 30)))
 
 
+#: The machine without labels of both kinds.
+CONSTANT = Machine(np.zeros(1 << 18), 0.0, 0.0, 0.0)
 #: What a text without words decides.
 LOWEST = -3.0
 #: Decisions beyond these count as these in the scaling to probabilities: toxic texts without a toxic word tell it nothing.
@@ -220,16 +223,22 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2)
 
 
 def _vocabulary(texts: list[str]) -> tuple[Units, np.ndarray, np.ndarray]:
-    """The distinct words of texts as Units, in order of their hashes, and the pairs (text, word), each once."""
+    """The distinct words of texts as Units, in order of their hashes, and the pairs (text, word), each once.
+
+    Words that differ in the signs around them alone are one.
+    """
     offsets, data = utf8(pa.array(texts, pa.string()))
     hashes, parts, pairs = [], [], []
     for i, j in pieces(offsets, 1_000_000):
         at = offsets[i : j + 1]
         w = words(at - at[0], data[at[0] : at[-1]], SPACED_LOWER)
-        own, first = np.unique(w.hashes, return_index=True)
+        _, first, of = np.unique(w.hashes, return_index=True, return_inverse=True)
+        u = units(w, first)
+        edge = np.searchsorted(u.owner, np.arange(u.n + 1))
+        own = spans(prefix_hashes(u.codes), edge[:-1], edge[1:])
         hashes.append(own)
-        parts.append(units(w, first))
-        pairs.append((w.docs + i, w.hashes))
+        parts.append(u)
+        pairs.append((w.docs + i, own[of]))
     every, rows = np.unique(np.concatenate(hashes), return_index=True)
     shift = np.concatenate(([0], np.cumsum([u.n for u in parts])))
     joined = Units(np.concatenate([u.codes for u in parts]), np.concatenate([u.owner + k for u, k in zip(parts, shift)]), int(shift[-1]))
@@ -237,15 +246,50 @@ def _vocabulary(texts: list[str]) -> tuple[Units, np.ndarray, np.ndarray]:
     return joined.take(rows), pair >> 32, pair & 0xFFFFFFFF
 
 
+FOLDS = 3
+
+
 def train(labels: np.ndarray, texts: list[str], seed: int = 8) -> Machine:
-    """labels and texts of labelled documents."""
+    """labels and texts of labelled documents.
+
+    The scaling to probabilities, and the decision that has PREDICT_FROM, come from decisions on texts that the machine
+    was not fitted on: the rows given are dealt into FOLDS parts, and each is decided by a machine of the others.
+    """
     first_of = {t: k for k, t in reversed(list(enumerate(texts)))}  # copies add nothing
     rows = np.array(sorted(first_of.values()), int)
     labels, texts = np.asarray(labels)[rows], [texts[k] for k in rows]
     toxic = labels == 1
-    constant = Machine(np.zeros(1 << 18), 0.0, 0.0, 0.0)
     if not toxic.any() or toxic.all():
-        return constant
+        return CONSTANT
+    fold = np.array([zlib.crc32(t[:200].encode()) % FOLDS for t in texts])  # near copies, mostly, together
+    top = np.full(len(texts), LOWEST)
+    for k in range(FOLDS):
+        inner, outer = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if len(outer) and toxic[inner].any() and not toxic[inner].all():
+            top[outer] = decisions(_machine(toxic[inner], [texts[i] for i in inner], seed, turns=2), *utf8(pa.array([texts[i] for i in outer], pa.string())))
+    return _scaled(_machine(toxic, texts, seed), top, toxic)
+
+
+def _scaled(machine: Machine, top: np.ndarray, toxic: np.ndarray) -> Machine:
+    """The machine with Platt's slope, and the shift that gives PREDICT_FROM to the decision `top` with the best F1."""
+    if machine is CONSTANT:
+        return machine
+    x, t = np.column_stack([np.clip(top, *SCALED), np.ones(len(top))]), np.where(toxic, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / ((~toxic).sum() + 2))
+    beta = np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-4)[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - t) + 1e-3 * beta)
+        beta = beta - np.clip(step, -2, 2)
+    cuts = np.arange(-1.0, SCALED[1], 0.05)
+    found, flagged = np.array([(toxic & (top >= c)).sum() for c in cuts]), np.array([(top >= c).sum() for c in cuts])
+    f1 = 2 * found / (flagged + toxic.sum())
+    best = np.median(cuts[f1 >= f1.max() - 0.002])  # the middle, where several do
+    machine.slope = float(max(beta[0], 2.0))
+    machine.shift = float(np.log(PREDICT_FROM / (1 - PREDICT_FROM)) - machine.slope * best)
+    return machine
+
+
+def _machine(toxic: np.ndarray, texts: list[str], seed: int, turns: int = 4) -> Machine:
     vocabulary, doc, word = _vocabulary(texts)
     in_toxic = np.bincount(word[toxic[doc]], minlength=vocabulary.n)
     in_clean = np.bincount(word[~toxic[doc]], minlength=vocabulary.n)
@@ -277,16 +321,17 @@ def train(labels: np.ndarray, texts: list[str], seed: int = 8) -> Machine:
                 own = word[first[d] : first[d + 1]]
                 left[own[telling[own]]] -= share[d]
     if not picked:
-        return constant
+        return CONSTANT
 
     by_count = np.argsort(-in_clean, kind="stable")
     clean = by_count[: min(3000, int((in_clean > 0).sum()))]
     rest = np.flatnonzero(in_clean > 0)
     clean = np.union1d(clean, rng.choice(rest, min(3000, len(rest)), replace=False))
     positive = np.array(picked)
-    machine = constant
-    for turn in range(4):
-        marks = np.concatenate([positive[np.argsort(-in_toxic[positive], kind="stable")][: LANDMARKS // 2], rng.choice(clean, min(LANDMARKS // 2, len(clean)), replace=False)])
+    machine, hard = CONSTANT, np.zeros(0, int)  # hard: the worst mistakes among the words of clean texts
+    for _ in range(turns):
+        marks = np.concatenate([positive[np.argsort(-in_toxic[positive], kind="stable")][: LANDMARKS // 2], hard[: LANDMARKS // 4]])
+        marks = np.unique(np.concatenate([marks, rng.choice(clean, min(LANDMARKS // 2 - min(len(hard), LANDMARKS // 4), len(clean)), replace=False)]))
         landmarks = vocabulary.take(marks)
         values, vectors = np.linalg.eigh(kernel(landmarks, landmarks))
         keep = values > 1e-6 * values.max()
@@ -304,19 +349,10 @@ def train(labels: np.ndarray, texts: list[str], seed: int = 8) -> Machine:
             own = own[(odds[own] > 4) & (got[own] > 0)]
             chosen.update(own[np.argsort(-got[own], kind="stable")][:5].tolist())
         positive = np.array(sorted(chosen))
-        hard = rest[np.argsort(-got[rest], kind="stable")][:1500]
+        hard = np.setdiff1d(rest, positive)
+        hard = hard[np.argsort(-got[hard], kind="stable")][:1500]
         clean = np.setdiff1d(np.union1d(clean, hard), positive)
 
-    # Platt scaling of the largest decision of each text.
-    top = np.full(len(texts), LOWEST)
-    np.maximum.at(top, doc, np.maximum(got[word], LOWEST))
-    x, t = np.column_stack([np.clip(top, *SCALED), np.ones(len(top))]), np.where(toxic, (toxic.sum() + 1) / (toxic.sum() + 2), 1 / ((~toxic).sum() + 2))
-    beta = np.array([1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-4)[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - t) + 1e-3 * beta)
-        beta = beta - np.clip(step, -2, 2)
-    machine.slope, machine.shift = float(max(beta[0], 0.1)), float(beta[1])
     return machine
 
 
