@@ -21,12 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where that is unset (local tests)."""
+    """The shared folder of spark.checkpoint.dir, or the one that the context has.
+
+    Only a local master, whose executors are the driver, gets a temporary folder where neither is set; on a cluster that
+    would be lost with a machine, so it is an error there.
+    """
     sc = spark.sparkContext
     shared = sc.getConf().get("spark.checkpoint.dir", None)
     if shared:
         return shared
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -310,3 +310,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
         (F.col("doc_id").isNull() | (F.col("doc_id") == F.coalesce("component_id", "doc_id"))).alias("kept"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """docs, all columns, with one row of each near-duplicate group: the one with the smallest id.
+
+    Rows that share an id are held apart by their texts: unlike ones all stay, each with a group of its own, and of
+    rows equal in id and text one stays (the one with the smallest hash of all its columns). Rows without an id or
+    without words are linked with nothing and all stay. Columns may have any names, as keys are joined by names of their own.
+    """
+    key, text = "key of the row", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    own = F.col(f"`{id_col}`").cast("long")
+    many = cut(docs.where(own.isNotNull()).groupBy(own.alias(key)).agg(F.count("*").alias("times")).where("times > 1").select(key))
+    rows = docs.withColumn(key, own)
+    if not many.take(1):
+        groups = near_duplicates(docs, id_col, text_col, shingle, percent)
+        return rows.join(counted(cut(groups.where("not kept").select(F.col("doc_id").alias(key)))), key, "left_anti").drop(key)
+
+    shared = "whether the id is shared"
+    rows = rows.join(counted(many).withColumn(shared, F.lit(True)), key, "left")
+    rows = rows.withColumn(key, F.when(F.col(shared), F.xxhash64(own, text)).otherwise(own)).drop(shared)
+    groups = near_duplicates(rows.select(F.col(f"`{key}`").alias("doc_id"), text.alias("text")), "doc_id", "text", shingle, percent)
+    groups = cut(groups.where("doc_id is not null and n_shingles > 0").groupBy("doc_id", "component_id").agg(F.count("*").alias("times")))
+    large = groups.groupBy("component_id").agg(F.sum("times").alias("members")).where("members > 1").select("component_id")
+    members = groups.join(large, "component_id", "left_semi")
+    ids = rows.select(F.col(f"`{key}`").alias("doc_id"), own.alias("id")).distinct()
+    members = cut(members.join(ids, "doc_id"))
+    first = members.groupBy("component_id").agg(F.min(F.struct("id", "doc_id"))["doc_id"].alias("leader"))
+    members = cut(members.join(first, "component_id"))
+    rows = rows.join(counted(cut(members.where("doc_id <> leader").select(F.col("doc_id").alias(key)).distinct())), key, "left_anti")
+    copied = counted(cut(members.where("doc_id = leader and times > 1").select(F.col("doc_id").alias(key)).distinct()))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    one = rows.join(copied, key, "left_semi").withColumn(shared, nth).where(F.col(shared) == 1).drop(shared)
+    return rows.join(copied, key, "left_anti").unionByName(one).select(*[F.col(f"`{c}`") for c in docs.columns])

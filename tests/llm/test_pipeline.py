@@ -48,3 +48,15 @@ def test_empty_documents(spark, tmp_path):
         stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
     assert docs.count() == 0
+
+
+def test_shared_ids_lose_no_text(spark):
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(1, words(1, 40)), (1, words(2, 40)), (2, words(2, 40) + " more"), (3, words(3, 40)), (3, words(3, 40)), (4, words(1, 40)), (5, ""), (5, None), (None, words(1, 40)), (None, words(9, 40)), (6, words(6, 40)), (6, words(6, 40) + " end"), (7, words(7, 40))]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, component_id int")
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in pipe.near_dup(spark, docs, SF).collect())
+    want = [(-1, rows[8][1]), (-1, rows[9][1]), (1, rows[0][1]), (1, rows[1][1]), (3, rows[3][1]), (5, ""), (5, ""), (7, rows[12][1])]
+    assert [x for x in got if x[0] != 6] == sorted(want) and len([x for x in got if x[0] == 6]) == 1
+    assert pipe.near_dup(spark, docs, SF).columns == docs.columns
+    unique = docs.where("component_id in (0, 2, 3, 5, 6, 8, 9)")
+    assert sorted(r["component_id"] for r in pipe.near_dup(spark, unique, SF).collect()) == [0, 2, 3, 6, 8, 9]
