@@ -8,43 +8,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.decontaminate import decontaminate
-from palimpsest.llm.frames import counted, cut, delete, ensure_checkpoint_dir, table
+from palimpsest.llm.frames import delete, ensure_checkpoint_dir, table
 from palimpsest.llm.mixing import TARGETS, fit_domains, mix
-from palimpsest.llm.near_dup import near_duplicates
+from palimpsest.llm.near_dup import without_near_duplicates
 from palimpsest.llm.pii import pseudonymise
 from palimpsest.llm.quality_rules import fit_rules, keep_good
 from palimpsest.llm.queries import PII_KEY
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; the rules are fitted on the labelled documents of the table."""
+    """Documents that the quality rules keep; the rules are fitted on the labelled documents of the table.
+
+    A row is judged by its text alone, whatever its id; a null text fails the base rules.
+    """
     return keep_good(docs, fit_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word shingles, similarity 0.8): the one with the smallest id."""
-    groups = cut(near_duplicates(docs, shingle=5, percent=80))
-    by_id = groups.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("times"))
-    gone = cut(by_id.where("not kept").select("doc_id"))
-    rows = docs.join(counted(gone), "doc_id", "left_anti").select(docs.columns)
-    if by_id.where("kept and times > 1").take(1):  # rows of one id are one document; those without an id stand alone
-        rows = rows.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.where("doc_id is null"))
-    return rows
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8): the one with the smallest id.
+
+    Rows that share an id but aren't alike all stay, as do rows without an id or without words.
+    """
+    return without_near_duplicates(docs, shingle=5, percent=80)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark doesn't contaminate."""
+    """Documents that the benchmark doesn't contaminate; each row by its own text, a null text has no words and stays."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with pseudonyms for personal data; n_chars follows the text."""
+    """The documents with pseudonyms for personal data, row by row; n_chars follows the text; a null text stays null."""
     out = pseudonymise(docs, PII_KEY, count_col=None)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else out.select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the copies that bring the domains' tokens to their target weights; none without a copy."""
+    """The documents with the copies that bring the domains' tokens to their target weights; none without a copy.
+
+    Rows that share an id are drawn alike; columns of documents with the names of results are replaced.
+    """
     model = fit_domains(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return mix(docs, model, TARGETS).where("n_copies > 0")
 
