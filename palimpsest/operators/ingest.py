@@ -34,11 +34,11 @@ def select_messages(messages: DataFrame, params: SensoryParams = SensoryParams()
 
 
 def sentence_weights(sentences: list[str]) -> list[float]:
-    """Sum over a sentence's terms of count * (ln((n + 1) / (df + 1)) + 1)."""
+    """Sum over a sentence's terms of their share of it, times ln((n + 1) / (df + 1)) + 1; 0 without terms."""
     counts = [Counter(_WORD.findall(s.lower())) for s in sentences]
     df = Counter(t for c in counts for t in c)
     n = len(sentences)
-    return [sum(k * (math.log((n + 1) / (df[t] + 1)) + 1) for t, k in c.items()) for c in counts]
+    return [sum(k / c.total() * (math.log((n + 1) / (df[t] + 1)) + 1) for t, k in c.items()) for c in counts]
 
 
 def compress(text: str | None, limit: int) -> str:

@@ -89,27 +89,21 @@ def keyword_search_all(memories: DataFrame, queries: DataFrame, k: int) -> DataF
     return _top(rows, ["query_id"], k, F.desc(F.round("text_score", 9)), F.col("id"))  # rounded: sums come in any order
 
 
-def keyword_rank(terms: Column, words: Column) -> Column:
-    """How densely the terms occur among a text's words, below 1: f / (f + 1) summed over terms and divided by their number.
+def keyword_candidates(memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id and the columns of memories with text_score. queries: query_id, user_id, terms (array).
 
-    Stands for the store's full-text rank, whose numbers depend on its own stemmer and weights.
+    A memory matches if it has all terms; no term matches nothing. The score is how densely they occur, below 1:
+    f / (f + 1) summed over terms and divided by their number. It stands for the store's full-text rank, whose numbers
+    depend on its own stemmer and weights. Each text is split once, and only wanted words become rows.
     """
-    count = lambda t: F.size(F.filter(words, lambda w: w == t))
-    return F.aggregate(terms, F.lit(0.0), lambda s, t: s + count(t) / (count(t) + 1)) / F.greatest(F.size(terms), F.lit(1))
-
-
-def keyword_match(words: Column, terms: Column) -> Column:
-    """Whether the words have all terms; no term matches nothing."""
-    return (F.size(terms) > 0) & (F.size(F.array_except(terms, words)) == 0)
-
-
-def keyword_candidates(memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id and the columns of memories with text_score. queries: query_id, user_id, terms (array)."""
-    rows = memories.join(queries, "user_id")
-    # The words are a column of their own, or each term would split the text again.
-    rows = rows.withColumn("_words", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))).where(keyword_match(F.col("_words"), F.col("terms")))
-    rows = rows.withColumn("text_score", keyword_rank(F.col("terms"), F.col("_words"))).drop("terms", "_words")
-    return _top(rows, ["query_id"], k, F.desc("text_score"), F.col("id"))
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))
+    asked = queries.select("query_id", "user_id", F.size("terms").alias("n"), F.explode("terms").alias("word"))
+    wanted = asked.select("user_id", "word").distinct()
+    counts = memories.select("user_id", "id", words.alias("word")).join(wanted, ["user_id", "word"], "left_semi").groupBy("user_id", "id", "word").agg(F.count("*").alias("f"))
+    rows = counts.join(asked, ["user_id", "word"]).groupBy("query_id", "user_id", "id", "n").agg(F.count("*").alias("found"), F.sum(F.col("f") / (F.col("f") + 1)).alias("s"))
+    rows = rows.where("found = n").select("query_id", "user_id", "id", (F.col("s") / F.col("n")).alias("text_score"))
+    best = _top(rows, ["query_id"], k, F.desc(F.round("text_score", 9)), F.col("id"))  # rounded: sums come in any order
+    return memories.join(best, ["user_id", "id"])
 
 
 def hybrid_merge(vector: DataFrame, keyword: DataFrame, params: SearchParams = SearchParams(), keys: tuple[str, ...] = ("id",)) -> DataFrame:

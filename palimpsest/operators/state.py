@@ -9,10 +9,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.time import before
 from ..functions.vector import cosine
 from ..params import StateParams
+from .windows import folded
 
 _P = StateParams()
 
@@ -53,18 +55,16 @@ def resolved(candidates: DataFrame, canonical: DataFrame) -> DataFrame:
 
 def fold_candidates(candidates: DataFrame, order: str) -> DataFrame:
     """user_id, memory_key, order, action, reason, value of candidates applied one after another to an empty key."""
-    schema = f"user_id string, memory_key string, {order} long, action string, reason string, value string"
+    rows = candidates.select("user_id", "memory_key", F.col(order), "value", "confidence", F.unix_micros("event_time").alias("event_time"))
+    made = T.StructField("made", T._parse_datatype_string("action string, reason string, value string"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        current, out = None, []
-        for c in pdf.sort_values(order, kind="stable").to_dict("records"):
-            c = {k: None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v for k, v in c.items()}
-            action, reason = rule_action(c, current, False)
-            current = c if action != "NOOP" else current
-            out.append((c["user_id"], c["memory_key"], c[order], action, reason, current["value"]))
-        return pd.DataFrame(out, columns=["user_id", "memory_key", order, "action", "reason", "value"])
-
-    return candidates.select("user_id", "memory_key", "value", "confidence", "event_time", order).groupBy("user_id", "memory_key").applyInPandas(run, schema)
+    def step(current: dict | None, c: dict) -> tuple[dict | None, dict]:
+        action, reason = rule_action(c, current, False)
+        current = c if action != "NOOP" else current
+        return current, {"action": action, "reason": reason, "value": current["value"]}
+
+    out = folded(rows, ["user_id", "memory_key"], [order], made, step)
+    return out.select("user_id", "memory_key", order, "made.action", "made.reason", "made.value")
 
 
 def applied(canonical: DataFrame, actions: DataFrame, now: str) -> DataFrame:

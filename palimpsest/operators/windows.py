@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
 import pandas as pd
+import pyspark.sql.types as T
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +72,34 @@ def balanced_sample(rows: DataFrame, kind: str, order: str, limit: int) -> DataF
     return rows.orderBy("_n", kind).limit(limit).drop("_n")
 
 
+#: Calls of a client that stay in one piece at least.
+SPAN = 5000
+
+
+def folded(rows: DataFrame, keys: list[str], order: list[str], field: T.StructField, step: Callable[[object, dict], tuple[object, object]]) -> DataFrame:
+    """rows with `field`: step(state, row) -> (state, value) over each key's rows in order, beginning with None.
+
+    Partitions are read through in order of key, so a key's rows are never gathered; only its state is held.
+    """
+    schema = T.StructType([*rows.schema.fields, field])
+    # By a hash of the keys: for the keys themselves the planner may take a partitioning that it gives up later.
+    dealt = rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for pdf in batches:
+            own, out = list(zip(*[pdf[k] for k in keys])), []
+            columns = {c: pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in pdf.columns}
+            for i, key in enumerate(own):
+                if key != last:
+                    last, state = key, None
+                state, value = step(state, {c: v[i] for c, v in columns.items()})
+                out.append(value)
+            yield pdf.assign(**{field.name: out})
+
+    return dealt.mapInPandas(run, schema)
+
+
 def accepted(times: list[float], most: int, seconds: float = 60.0) -> list[bool]:
     """Which of a client's calls a sliding limit lets through; calls that it turns away don't count."""
     out, kept, start = [], [], 0
@@ -82,16 +114,27 @@ def accepted(times: list[float], most: int, seconds: float = 60.0) -> list[bool]
 
 
 def rate_limited(calls: DataFrame, client: str, at: str, order: str, most: int = 60, seconds: float = 60.0) -> DataFrame:
-    """calls with allowed: sequential, as a refused call leaves no trace; a client's calls are one group."""
-    import pyspark.sql.types as T
+    """calls with allowed: whether a client's accepted calls of the last `seconds` leave room; refused ones leave no trace.
 
-    schema = T.StructType([*calls.schema.fields, T.StructField("allowed", T.BooleanType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, order], kind="stable")
-        return pdf.assign(allowed=accepted((pdf[at].astype("int64") / (1e9 if "ns" in str(pdf[at].dtype) else 1e6)).tolist(), most, seconds))
+    After a pause of `seconds` nothing is left of a client's past, so its calls are dealt out between pauses, SPAN or more in
+    a piece, and each piece runs through in order: what is held is the accepted calls of one window, never a client.
+    """
+    w = Window.partitionBy(client).orderBy(at, order)
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    pause = F.coalesce(micros - F.lag(micros).over(w) >= int(seconds * 1e6), F.lit(True))
+    n = F.row_number().over(w)
+    rows = calls.withColumn("_micros", micros).withColumn("_span", F.floor(F.max(F.when(pause, n)).over(w.rowsBetween(Window.unboundedPreceding, 0)) / SPAN))
+
+    def step(kept: deque | None, row: dict) -> tuple[deque, bool]:
+        kept = deque() if kept is None else kept
+        while kept and kept[0] <= row["_micros"] - seconds * 1e6:
+            kept.popleft()
+        ok = len(kept) < most
+        if ok:
+            kept.append(row["_micros"])
+        return kept, ok
 
-    return calls.groupBy(client).applyInPandas(run, schema)
+    return folded(rows, [client, "_span"], ["_micros", order], T.StructField("allowed", T.BooleanType()), step).drop("_micros", "_span")
 
 
 def sessions(events: DataFrame, key: str, at: str, order: str, hours: float = 2.0) -> DataFrame:

@@ -364,12 +364,14 @@ def list_paginated(spark, sf_dir):
 n AS (SELECT conv_id, turn, count(*) AS n FROM w GROUP BY 1, 2),
 k AS (SELECT conv_id, turn, i, t, count(*) AS tf FROM (SELECT conv_id, turn, i, unnest(regexp_extract_all(lower(s), '[a-z0-9_]+')) AS t FROM w) GROUP BY 1, 2, 3, 4),
 d AS (SELECT conv_id, turn, t, count(*) AS df FROM k GROUP BY 1, 2, 3)
-SELECT conv_id, turn, i::INT AS sentence, round(sum(tf * (ln((n + 1) / (df + 1)) + 1)), 6) AS weight FROM k JOIN d USING (conv_id, turn, t) JOIN n USING (conv_id, turn) GROUP BY 1, 2, 3""")
+SELECT conv_id, turn, i::INT AS sentence, round(sum(tf / m * (ln((n + 1) / (df + 1)) + 1)), 6) AS weight FROM k JOIN d USING (conv_id, turn, t) JOIN n USING (conv_id, turn)
+JOIN (SELECT conv_id, turn, i, sum(tf) AS m FROM k GROUP BY 1, 2, 3) USING (conv_id, turn, i) GROUP BY 1, 2, 3""")
 def tfidf_sentences(spark, sf_dir):
     rows = messages(spark, sf_dir).select("conv_id", "turn", txt.sentences(F.col("content")).alias("sentences"))
     words = rows.select("conv_id", "turn", F.size("sentences").alias("n"), F.posexplode("sentences").alias("i", "s"))
-    words = words.select("conv_id", "turn", "n", (F.col("i") + 1).alias("sentence"), F.explode(F.regexp_extract_all(F.lower("s"), F.lit("[a-z0-9_]+"), F.lit(0))).alias("t"))
-    tf = words.groupBy("conv_id", "turn", "n", "sentence", "t").agg(F.count("*").alias("tf"))
+    words = words.withColumn("own", F.regexp_extract_all(F.lower("s"), F.lit("[a-z0-9_]+"), F.lit(0)))
+    words = words.select("conv_id", "turn", "n", (F.col("i") + 1).alias("sentence"), F.size("own").alias("m"), F.explode("own").alias("t"))
+    tf = words.groupBy("conv_id", "turn", "n", "sentence", "m", "t").agg((F.count("*") / F.col("m")).alias("tf"))
     df = tf.groupBy("conv_id", "turn", "t").agg(F.count("*").alias("df"))
     weight = F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
     return tf.join(df, ["conv_id", "turn", "t"]).groupBy("conv_id", "turn", "sentence").agg(F.round(F.sum(weight), 6).alias("weight"))
