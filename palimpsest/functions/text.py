@@ -156,3 +156,9 @@ def line_scores(query: Column, text: Column) -> Column:
     lines = F.transform(lines, lambda x: strip(F.regexp_replace(x, "(?i)^(user|assistant):", "")))
     parts = F.flatten(F.transform(lines, lambda x: F.filter(F.transform(F.split(x, r"(?U)(?<=[.!?])\s+"), strip), lambda p: p != "")))
     return F.transform(parts, lambda p: F.struct(F.size(F.filter(terms, lambda t: F.contains(F.lower(p), t))).alias("score"), p.alias("line")))
+
+
+def truncated(text: Column, most: int) -> Column:
+    """The first `most` characters; characters are code points, so none is cut in two."""
+    return F.left(text, F.lit(most))
+

@@ -37,3 +37,10 @@ def before(at: Column, now: str, **age: float) -> Column:
     """Whether at is more than the age (days=, hours=, fractions too) before now."""
     seconds = age.get("days", 0) * 86400 + age.get("hours", 0) * 3600
     return F.unix_micros(at.cast("timestamp")) < F.unix_micros(F.lit(now).cast("timestamp")) - F.lit(int(seconds * 1_000_000))
+
+
+def iso_text(at: Column) -> Column:
+    """A timestamp as ISO 8601 text in the session's zone, with microseconds where it has some."""
+    at = at.cast("timestamp")
+    micros = F.date_format(at, "SSSSSS")
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)), F.date_format(at, "xxx"))

@@ -19,6 +19,7 @@ from ..functions.time import decay
 from ..functions.vector import cosine
 from ..params import SearchParams
 from ..schemas import source_label, union
+from .state import like_earlier
 
 
 def _top(df: DataFrame, keys: list[str], k: int | Column, *order: Column) -> DataFrame:
@@ -193,20 +194,13 @@ def dedup_content(rows: DataFrame, keys: list[str], order: list[str], params: Se
 def distinct_contents(rows: DataFrame, group: str, cut: Callable[[DataFrame], DataFrame], params: SearchParams = SearchParams(), text: str = "text") -> DataFrame:
     """grp and id of the rows (id, group, text) of whole groups that are like no earlier one kept, in order of id.
 
-    dedup_content without gathering a group: equal token sets are one, similar_pairs finds the rest, and in each round
-    rows without an open earlier neighbour are kept and their neighbours go. `cut` ends the lineage of each round.
+    dedup_content without gathering a group: equal token sets are one, similar_pairs finds the rest, and like_earlier what goes. `cut` ends the lineage of each round.
     """
     sets = F.sha2(F.array_join(F.array_sort(txt.tokens(F.col(text))), " "), 256)
     first = rows.groupBy(F.col(group).alias("grp"), sets.alias("_set")).agg(F.min(F.struct(F.col("id"), F.col(text).alias("text"))).alias("_first"))
     own = cut(first.select("grp", "_first.id", "_first.text"))
-    edges = cut(similar_pairs(own, params.content_similarity, "grp").select("a", "b"))
-    kept = own.select("grp", "id")
-    while edges.take(1):
-        keep = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")), "a", "left_anti")
-        gone = cut(edges.join(keep, "a", "left_semi").select(F.col("b").alias("id")).distinct())
-        kept = cut(kept.join(gone, "id", "left_anti").select("grp", "id"))
-        edges = cut(edges.join(gone.toDF("b"), "b", "left_anti").join(gone.toDF("a"), "a", "left_anti").select("a", "b"))
-    return kept
+    gone = like_earlier(similar_pairs(own, params.content_similarity, "grp"), cut)
+    return own.select("grp", "id").join(gone, "id", "left_anti").select("grp", "id")
 
 
 def similar_pairs(rows: DataFrame, threshold: float, group: str, text: str = "text") -> DataFrame:

@@ -5,6 +5,8 @@ Tables are immutable; every operator returns the next snapshot or the actions th
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -132,6 +134,21 @@ def similar_pairs(rows: DataFrame, group: str, threshold: float, block: int = 51
     return dealt.groupBy("grp", "i", "j").applyInPandas(run, schema)
 
 
+def like_earlier(edges: DataFrame, cut) -> DataFrame:
+    """id of the rows that go when, in order of id, each row like one kept before it goes. edges: a < b, the likes.
+
+    In each round rows without an open earlier neighbour are kept and their neighbours go. `cut` ends a round's lineage.
+    """
+    edges = cut(edges.select("a", "b"))
+    out = edges.select(F.col("b").alias("id")).limit(0)
+    while edges.take(1):
+        keep = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")), "a", "left_anti")
+        gone = cut(edges.join(keep, "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        edges = cut(edges.join(gone.toDF("b"), "b", "left_anti").join(gone.toDF("a"), "a", "left_anti").select("a", "b"))
+        out = out.unionByName(gone)
+    return out
+
+
 def components(edges: DataFrame, checkpoint) -> DataFrame:
     """id, component of the ends of edges (a, b): least ids spread along edges and then jump to their own label.
 
@@ -157,20 +174,6 @@ def clusters(labels: DataFrame, rows: DataFrame, order: list[str], most: int = _
     return own.groupBy("component").agg(members.alias("members")).where(F.size("members") >= 2)
 
 
-def keep_first_vectors(pdf: pd.DataFrame, threshold: float = _P.dedup_similarity) -> list:
-    """ids of rows whose vector is like one kept before it."""
-    kept, dup = np.zeros((0, len(pdf["embedding"].iloc[0]) if len(pdf) else 0)), []
-    for i, e in zip(pdf["id"], pdf["embedding"]):
-        x = np.asarray(e, float)
-        n = np.sqrt(x @ x)
-        x = x / n if n >= 1e-10 else np.zeros_like(x)
-        if len(kept) and (kept @ x).max() >= threshold:
-            dup.append(i)
-        else:
-            kept = np.vstack([kept, x])
-    return dup
-
-
 def merged(canonical: DataFrame, merges: DataFrame, now: str) -> DataFrame:
     """Next snapshot after merges (user_id, members, new_id, content, memory_type, memory_key, confidence)."""
     at = F.lit(now).cast("timestamp")
@@ -222,13 +225,14 @@ def consolidation_due(canonical: DataFrame, log: DataFrame, params: StateParams
 def lineage(canonical: DataFrame, checkpoint) -> DataFrame:
     """id, ancestor, depth: what each memory supersedes or was consolidated from, all the way back."""
     step = canonical.select("id", F.explode(F.array_compact(F.concat(F.array("supersedes_memory_id"), F.coalesce("consolidated_from", F.array().cast("array<string>"))))).alias("ancestor")).distinct()
-    out = now = checkpoint(step.withColumn("depth", F.lit(1)))
-    while True:
-        now = now.toDF("id", "via", "depth").join(step.toDF("via", "ancestor"), "via").select("id", "ancestor", (F.col("depth") + 1).alias("depth"))
-        now = checkpoint(now.join(out, ["id", "ancestor"], "left_anti").distinct())
-        if not now.take(1):
+    out = checkpoint(step.withColumn("depth", F.lit(1)))
+    size = out.count()
+    while True:  # each round joins the paths found so far with each other: as many rounds as the longest has binary digits
+        far = out.toDF("id", "via", "near").join(out.toDF("via", "ancestor", "further"), "via").select("id", "ancestor", (F.col("near") + F.col("further")).alias("depth"))
+        out = checkpoint(out.unionByName(far).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
+        size, before = out.count(), size
+        if size == before:
             return out
-        out = checkpoint(out.unionByName(now))
 
 
 def budget_left(profiles: DataFrame, usage: DataFrame, now: str, default: int = _P.daily_budget) -> DataFrame:
@@ -265,3 +269,79 @@ def key_hash(api_key):
 def verified_keys(requests: DataFrame, keys: DataFrame) -> DataFrame:
     """requests (api_key) with the user of each key that is not revoked."""
     return requests.withColumn("key_hash", key_hash(F.col("api_key"))).join(keys.where("revoked_at is null").select("key_hash", "user_id"), "key_hash", "left").drop("key_hash")
+
+
+def users_like(rows: DataFrame, pattern: str) -> DataFrame:
+    """rows of the users whose id is LIKE pattern."""
+    return rows.where(F.col("user_id").like(pattern))
+
+
+def all_users(tables: dict[str, DataFrame]) -> DataFrame:
+    """The distinct user_id of all tables; each table gives its own distinct ones first."""
+    return reduce(DataFrame.union, [t.select("user_id").where("user_id is not null").distinct() for t in tables.values()]).distinct()
+
+
+def counts_by_user(tables: dict[str, DataFrame]) -> DataFrame:
+    """user_id and the number of its rows in each table, as column; one shuffle of partial counts."""
+    parts = [t.groupBy("user_id").agg(F.count("*").alias("n")).select("user_id", F.lit(name).alias("name"), "n") for name, t in tables.items()]
+    total = [F.coalesce(F.sum(F.when(F.col("name") == name, F.col("n"))), F.lit(0)).cast("long").alias(name) for name in tables]
+    return reduce(DataFrame.union, parts).groupBy("user_id").agg(*total)
+
+
+def reset_user(tables: dict[str, DataFrame], profiles: DataFrame, user_id: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All tables without a user's rows, and the profiles with its use at zero."""
+    kept = {name: t.where(F.coalesce(F.col("user_id") != user_id, F.lit(True))) for name, t in tables.items()}
+    return kept, profiles.withColumn("tokens_used_today", F.when(F.col("user_id") == user_id, F.lit(0)).otherwise(F.col("tokens_used_today")))
+
+
+def recorded_usage(profiles: DataFrame, usage: DataFrame, now: str, default: int = _P.daily_budget) -> DataFrame:
+    """The next profiles (user_id, tokens_used_today, token_budget_daily, budget_reset_at) after usage (user_id, tokens).
+
+    A counter of another day starts anew; users without a profile get one; use of zero or less leaves no trace.
+    """
+    at = F.lit(now).cast("timestamp")
+    spent = usage.where("tokens > 0").groupBy("user_id").agg(F.sum("tokens").alias("_spent"))
+    own = profiles.select("user_id", F.col("tokens_used_today").alias("_used"), F.col("token_budget_daily").alias("_budget"), F.col("budget_reset_at").alias("_reset"))
+    rows = own.join(spent, "user_id", "full_outer")
+    fresh = F.coalesce(F.to_date("_reset") >= F.to_date(at), F.lit(False))
+    touched = F.col("_spent").isNotNull()
+    used = F.when(touched, F.when(fresh, F.coalesce("_used", F.lit(0))).otherwise(F.lit(0)) + F.col("_spent")).otherwise(F.col("_used"))
+    return rows.select("user_id", used.cast("long").alias("tokens_used_today"), F.coalesce("_budget", F.lit(default)).cast("long").alias("token_budget_daily"), F.when(touched & ~fresh, at).otherwise(F.col("_reset")).alias("budget_reset_at"))
+
+
+def storable(memories: DataFrame, budgets: DataFrame, params: StateParams = _P) -> DataFrame:
+    """memories (user_id, confidence) with outcome: over_budget, unsure or store. budgets: user_id, remaining (budget_left);
+    a user without one has its whole budget."""
+    rows = memories.join(budgets.select("user_id", "remaining"), "user_id", "left")
+    return rows.withColumn("outcome", F.when(F.col("remaining") <= 0, "over_budget").when(F.coalesce("confidence", F.lit(0.8)) < params.min_confidence, "unsure").otherwise("store")).drop("remaining")
+
+
+def started_session(messages: DataFrame, starts: DataFrame, now: str, params: StateParams = _P) -> DataFrame:
+    """messages after the sessions `starts` (user_id, session_id) begin: their own old messages go, and those of the
+    users' other sessions that are older than the timeout."""
+    begun = starts.select("user_id", F.col("session_id").alias("_session")).distinct()
+    rows = messages.join(begun, "user_id", "left")
+    gone = F.col("_session").isNotNull() & ((F.col("session_id") == F.col("_session")) | before(F.col("created_at"), now, hours=params.session_timeout_hours))
+    return rows.where(~F.coalesce(gone, F.lit(False))).drop("_session")
+
+
+def session_rest(messages: DataFrame, keys: list[str], order: str, every: int = _P.drain_every) -> DataFrame:
+    """The messages of each session that no drain has taken when it ends: those after its last full `every`."""
+    w = Window.partitionBy(*keys)
+    n, size = F.row_number().over(w.orderBy(order)), F.count("*").over(w)
+    return messages.withColumn("_n", n).withColumn("_size", size).where(F.col("_n") > F.col("_size") - F.col("_size") % every).drop("_n", "_size")
+
+
+def metadata_merged(old, new):
+    """A JSON object with the members of another; of both the new one. Null and what is no object count as empty."""
+    members = lambda c: F.coalesce(F.map_entries(F.try_parse_json(F.when(F.trim(c).startswith("{"), c)).cast("map<string,variant>")), F.expr("cast(array() as array<struct<key:string,value:variant>>)"))
+    a, b = members(old), members(new)
+    mine = F.filter(a, lambda x: ~F.array_contains(F.transform(b, lambda y: y["key"]), x["key"]))
+    return F.to_json(F.map_from_entries(F.concat(mine, b)))
+
+
+def with_provenance(rows: DataFrame, now: str, minutes: int, session_id: str) -> DataFrame:
+    """rows whose metadata names their session, where they were created in the last `minutes`."""
+    fresh = ~before(F.col("created_at"), now, hours=minutes / 60) & (F.col("created_at") <= F.lit(now).cast("timestamp"))
+    stamp = F.to_json(F.struct(F.lit(session_id).alias("source_session_id")))
+    return rows.withColumn("metadata", F.when(fresh, metadata_merged(F.col("metadata"), stamp)).otherwise(F.col("metadata")))

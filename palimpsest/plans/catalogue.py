@@ -16,7 +16,6 @@ from ..functions.sets import jaccard
 from ..functions.time import decay
 from ..functions.vector import clamped, cosine, normalised, resized
 from ..operators import evaluate, ingest, retrieval, state, windows
-from ..operators.hooks import HashEmbedder, embedded
 from ..params import SearchParams
 
 NOW = "2024-02-01 00:00:00"
@@ -210,7 +209,18 @@ def mmr(spark, sf_dir):
     return retrieval.diversify(found, ["query_id"]).select("query_id", "position", "id")
 
 
-@query()
+#: Of rows in order of id, those kept that are like none kept before; p has the likes (grp, a, b).
+_KEPT = """o AS (SELECT grp, id, row_number() OVER (PARTITION BY grp ORDER BY id) AS n FROM {rows}),
+near AS (SELECT grp, b AS id, list(a) AS earlier FROM p GROUP BY 1, 2),
+r(grp, n, kept) AS (SELECT DISTINCT grp, 0::BIGINT, []::BIGINT[] FROM o UNION ALL SELECT r.grp, o.n, CASE WHEN list_has_any(r.kept, coalesce(near.earlier, []::BIGINT[])) THEN r.kept ELSE list_append(r.kept, o.id) END FROM r JOIN o ON o.grp = r.grp AND o.n = r.n + 1 LEFT JOIN near ON near.grp = o.grp AND near.id = o.id),
+kept AS (SELECT grp, unnest(kept) AS id FROM (SELECT grp, arg_max(kept, n) AS kept FROM r GROUP BY 1))"""
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT doc_id, source, {_WORDS.format('text')} AS ws FROM documents),
+p AS (SELECT a.source AS grp, a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.source = b.source AND a.doc_id < b.doc_id AND least(len(a.ws), len(b.ws)) >= 0.85 * greatest(len(a.ws), len(b.ws))
+WHERE len(a.ws) + len(b.ws) = 0 OR len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))) >= 0.85),
+{_KEPT.format(rows="(SELECT source AS grp, doc_id AS id FROM documents)")}
+SELECT grp AS query_id, row_number() OVER (PARTITION BY grp ORDER BY id) - 1 AS position, id FROM kept""")
 def content_dedup(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -264,14 +274,9 @@ def cluster_members(spark, sf_dir):
     return state.clusters(labels, rows, ["id"]).select("component", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PAIRS}, {_KEPT.format(rows="(SELECT label AS grp, vec_id AS id FROM embeddings)")} SELECT vec_id AS id FROM embeddings WHERE vec_id NOT IN (SELECT id FROM kept)""")
 def vector_dedup(spark, sf_dir):
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"id": state.keep_first_vectors(pdf.sort_values("id"), 0.3)})
-
-    return vectors(spark, sf_dir).select("id", "user_id", "embedding").groupBy("user_id").applyInPandas(run, "id long")
+    return state.like_earlier(state.similar_pairs(vectors(spark, sf_dir), "user_id", 0.3), _cut(spark))
 
 
 @query(f"""SELECT conv_id, turn, len({_WORDS.format('text')})::INT AS n_tokens, (CASE WHEN len(text) = 0 THEN 0 ELSE greatest(1, len(text) // 4) END)::INT AS estimated,
@@ -297,7 +302,11 @@ def capital_words(spark, sf_dir):
     return rows.where(F.size("k") > 0).select("conv_id", "turn", F.array_join("k", "|").alias("keywords"))
 
 
-@query()
+_STOP = ", ".join(f"'{w}'" for w in txt.QUERY_STOP_WORDS)
+
+
+@query(f"""SELECT item_id, list_aggregate(list_filter(list_filter(string_split_regex(trim(lower(text)), '[\\s.,!?;:"''()\\[\\]{{}}<>/\\\\|@#$%^&*=+~`]+'), lambda w: w <> '' AND w NOT IN ({_STOP}) AND NOT (regexp_full_match(w, '[\\x00-\\x7F]*') AND len(w) < 3) AND NOT regexp_full_match(w, '\\d+')), lambda w, i: list_position(list_filter(string_split_regex(trim(lower(text)), '[\\s.,!?;:"''()\\[\\]{{}}<>/\\\\|@#$%^&*=+~`]+'), lambda w: w <> '' AND w NOT IN ({_STOP}) AND NOT (regexp_full_match(w, '[\\x00-\\x7F]*') AND len(w) < 3) AND NOT regexp_full_match(w, '\\d+')), w) = i), 'string_agg', ' ') AS keywords,
+array_to_string(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), ' & ') AS match FROM benchmark""")
 def query_keywords(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(txt.query_keywords(F.col("text")), " ").alias("keywords"), txt.match_query(F.col("text")).alias("match"))
 
@@ -377,7 +386,18 @@ def tfidf_sentences(spark, sf_dir):
     return tf.join(df, ["conv_id", "turn", "t"]).groupBy("conv_id", "turn", "sentence").agg(F.round(F.sum(weight), 6).alias("weight"))
 
 
-@query()
+@query("""WITH RECURSIVE m AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations),
+l AS (SELECT conv_id, turn, t, list_filter([trim(x) FOR x IN string_split_regex(regexp_replace(t, '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), chr(1))], lambda s: s <> '') AS parts FROM m WHERE len(t) > 320),
+s AS (SELECT conv_id, turn, unnest(parts) AS s, generate_subscripts(parts, 1) AS i, len(parts) AS n FROM l WHERE len(parts) > 2 AND len(parts[1]) + len(parts[-1]) + 1 <= 320),
+k AS (SELECT conv_id, turn, i, n, t, count(*) AS tf, min(pos) AS pos, any_value(m) AS m FROM (SELECT conv_id, turn, i, n, len(ts) AS m, unnest(ts) AS t, generate_subscripts(ts, 1) AS pos FROM (SELECT *, regexp_extract_all(lower(s), '[a-z0-9_]+') AS ts FROM s)) GROUP BY 1, 2, 3, 4, 5),
+d AS (SELECT conv_id, turn, t, count(*) AS df FROM k GROUP BY 1, 2, 3),
+w AS (SELECT conv_id, turn, i, list_aggregate(list((tf / m) * (ln((n + 1) / (df + 1)) + 1) ORDER BY pos), 'fsum') AS weight FROM k JOIN d USING (conv_id, turn, t) GROUP BY 1, 2, 3),
+o AS (SELECT conv_id, turn, i, len(s) AS size, row_number() OVER (PARTITION BY conv_id, turn ORDER BY coalesce(weight, 0) DESC, i) AS pos FROM s LEFT JOIN w USING (conv_id, turn, i) WHERE i > 1 AND i < n),
+g(conv_id, turn, pos, room, kept) AS (SELECT conv_id, turn, 0::BIGINT, 320 - len(parts[1]) - len(parts[-1]) - 1, [1, len(parts)] FROM l WHERE len(parts) > 2 AND len(parts[1]) + len(parts[-1]) + 1 <= 320
+UNION ALL SELECT g.conv_id, g.turn, o.pos, CASE WHEN size + 1 <= room THEN room - size - 1 ELSE room END, CASE WHEN size + 1 <= room THEN list_append(kept, i) ELSE kept END FROM g JOIN o ON o.conv_id = g.conv_id AND o.turn = g.turn AND o.pos = g.pos + 1),
+b AS (SELECT conv_id, turn, arg_max(kept, pos) AS kept FROM g GROUP BY 1, 2)
+SELECT m.conv_id, m.turn, CASE WHEN len(m.t) <= 320 THEN m.t WHEN b.kept IS NULL THEN rtrim(m.t[:208]) || ' ... ' || ltrim(m.t[-107:]) ELSE array_to_string([parts[x] FOR x IN list_sort(b.kept)], ' ') END AS content
+FROM m LEFT JOIN l USING (conv_id, turn) LEFT JOIN b USING (conv_id, turn)""")
 def compress_messages(spark, sf_dir):
     return messages(spark, sf_dir).select("conv_id", "turn", ingest.compressed(F.col("content"), 320).alias("content"))
 
@@ -577,9 +597,3 @@ def turn_similarity(spark, sf_dir):
     m = messages(spark, sf_dir).select("conv_id", "turn", txt.tokens(F.col("content")).alias("w"))
     n = m.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("v"))
     return m.join(n, ["conv_id", "turn"]).select("conv_id", "turn", F.round(jaccard(F.col("w"), F.col("v")), 6).alias("similarity"))
-
-
-@query()
-def offline_embeddings(spark, sf_dir):
-    rows = embedded(messages(spark, sf_dir).select("conv_id", "turn", "content"), "content", HashEmbedder)
-    return rows.select("conv_id", "turn", F.round(cosine(F.col("embedding"), F.col("embedding")), 6).alias("self_similarity"))
