@@ -28,7 +28,7 @@ ROUNDS = 8  # even: both halves are back in their places
 # The formats looked for.
 _PASSWORD, _TOKEN = "(?i:password=)", '(?i:(?:token|secret|api_key) = ")'
 _NAMES = "(?:pass(?:word|wd|phrase|code)|pwd|secret(?:[_-]?key)?|(?:api|access|private|client|auth)[_-]?(?:key|token|secret)|(?:auth|bearer)?[_-]?token)"
-_NAMED = rf"(?<![A-Za-z])(?!(?<!\w){_PASSWORD}[^\s\"'<>]{{4}}|(?<!\w){_TOKEN}[^\s\"]{{8}})(?i:{_NAMES})[\"']?\s{{0,2}}(?:=>|[:=])\s{{0,2}}"
+_NAMED = rf"(?<![A-Za-z])(?=[PpSsAaCcTtBb])(?=(?i:{_NAMES}))(?!(?<!\w){_PASSWORD}[^\s\"'<>]{{4}}|(?<!\w){_TOKEN}[^\s\"]{{8}})(?i:{_NAMES})[\"']?\s{{0,2}}(?:=>|[:=])\s{{0,2}}"
 _KNOWN = "A[KS]IA|gh[pousr]_|github_pat_|glpat-|sk-|xox[abprs]-|eyJ"
 _PHONE = r"(?:\+\d{0,3}|1)?[ .-]?\(?\d{3}(?:\)[ .-]?|[ .-])\d{3}[ .-]\d{4}"
 _WORLD_PHONE = r"\+(?:\d[ .()/-]{0,2}){7,14}\d"
@@ -100,6 +100,11 @@ def permuted_number(x: Column, key: str, kind: str, a: int, b: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda acc: acc["l"] * b + acc["r"])
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _digits(s: Column) -> Column:
     return F.transform(_chars(F.regexp_replace(s, "[^0-9]", "")), lambda c: c.cast("int"))
 
@@ -144,10 +149,13 @@ def _ipv4(v: Column, key: str) -> Column:
     octets = F.transform(F.split(v, r"\."), lambda o: o.cast("long"))
     number = F.aggregate(octets, F.lit(0).cast("long"), lambda t, o: t * 256 + o)
     new = permuted_number(number, key, "ipv4", 65536, 65536)
-    at = lambda k: F.get(F.split(v, r"\."), F.lit(3 - k))
-    plain = lambda k: F.pmod(F.floor(new / 256**k), F.lit(256)).cast("int").cast("string")
-    octet = lambda k: F.when(at(k).rlike("^0.") & (F.length(plain(k)) < F.length(at(k))), F.lpad(plain(k), F.length(at(k)), F.lit("0"))).otherwise(plain(k))
-    return F.when(F.forall(octets, lambda o: o <= 255), F.concat_ws(".", *[octet(k) for k in (3, 2, 1, 0)]))
+
+    def written(n: Column) -> Column:
+        octet = lambda k: F.pmod(F.shiftright(n, 24 - 8 * k), F.lit(256)).cast("int").cast("string")
+        padded = lambda old, new: F.when(old.rlike("^0.") & (F.length(new) < F.length(old)), F.lpad(new, F.length(old), F.lit("0"))).otherwise(new)
+        return F.array_join(F.zip_with(F.split(v, r"\."), F.array(*[octet(k) for k in range(4)]), padded), ".")
+
+    return F.when(F.forall(octets, lambda o: o <= 255), _bound(new, written))
 
 
 def _date(v: Column, key: str) -> Column:
@@ -159,12 +167,9 @@ def _date(v: Column, key: str) -> Column:
         late = lambda n: (n < _DAYS) & (F.dayofmonth(F.date_add(first, n.cast("int"))) > 12)
         fits, steps = (late, 60) if form == "dd/MM/yyyy" else (lambda n: n < _DAYS, 3)  # of 73051 numbers two are no day, and 0.61 a late day
 
-        def step(acc: Column, _: Column) -> Column:
-            new = permuted_number(acc["n"], key, "date", _DAY_A, _DAY_B)
-            return F.when(acc["done"], acc).otherwise(F.struct(new.alias("n"), fits(new).alias("done")))
-
+        turn = lambda n: permuted_number(n, key, "date", _DAY_A, _DAY_B)
         # Permuted until it is a day of its kind again: a permutation of those days.
-        new = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(x.alias("n"), F.lit(False).alias("done")), step, lambda acc: acc["n"])
+        new = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), turn(x), lambda n, _: F.when(fits(n), n).otherwise(turn(n)))
         return F.when((x >= 0) & (x < _DAYS), F.date_format(F.date_add(first, new.cast("int")), form))
 
     shapes = [r"^\d{4}-", r"^\d{4}/", r"^\d{2}\.", r"^\d{2}/", r"^\d{2}/"]
@@ -193,12 +198,12 @@ def _ssn(v: Column, key: str) -> Column:
 
 def _secret(v: Column, key: str, known: str = f"^(?:{_KNOWN})") -> Column:
     """The first letters that tell a kind of token stay; of a name and its value only what stands in the quotes goes."""
-    lead = F.regexp_extract(v, known, 0)
-    rest = F.substring(v, F.length(lead) + 1, F.length(v))
-    close = F.when(lead.rlike("[\"']$"), F.right(v, F.lit(1))).otherwise(F.lit(""))
-    rest = F.substring(rest, F.lit(1), F.length(rest) - F.length(close))
-    new = F.when(rest.rlike("^[0-9a-f]+$"), permuted(rest, key, "secret", [_HEX])).otherwise(permuted(rest, key, "secret"))
-    return F.concat(lead, new, close)
+    def rewritten(lead: Column) -> Column:
+        close = F.when(lead.rlike("[\"']$"), F.right(v, F.lit(1))).otherwise(F.lit(""))
+        rest = F.substring(v, F.length(lead) + 1, F.length(v) - F.length(lead) - F.length(close))
+        return F.concat(lead, _bound(rest, lambda x: F.when(x.rlike("^[0-9a-f]+$"), permuted(x, key, "secret", [_HEX])).otherwise(permuted(x, key, "secret"))), close)
+
+    return _bound(F.regexp_extract(v, known, 0), rewritten)
 
 
 def _email(v: Column, key: str) -> Column:
