@@ -7,7 +7,8 @@ hit is extended to the windows of WINDOW words around it, and the words of those
 An item shorter than WINDOW words is one window of its own length; the winnowing guarantee doesn't hold below WINDOW
 words, so these are looked up by the hash of the whole item.
 
-The benchmark goes to the workers in blocks of at most BLOCK_BYTES of text, one pass over the documents a block.
+The benchmark goes to the workers in blocks of at most BLOCK_BYTES of text. One block is one pass over the documents;
+of several, each reads the documents once and stores the hits alone, which are united and joined to the documents.
 
 Edge cases: a null text has no words and is not contaminated; an item without words has no window; an item whose id is
 null makes hits but is not listed; repeated items count once; an empty benchmark leaves every document clean.
@@ -16,6 +17,7 @@ null makes hits but is not listed; repeated items count once; an empty benchmark
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,6 +30,8 @@ from .tokens import ALNUM_LOWER, U, Words, grams, words
 WINDOW, GRAM = 13, 8
 #: Most benchmark text sent to the workers at once.
 BLOCK_BYTES = 16_000_000
+#: Columns of docs by these names are replaced.
+RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def winnow(hashes: np.ndarray, span: int) -> np.ndarray:
@@ -105,39 +109,72 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[DataFrame]
     return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("text"), F.lit(2 * n)) == k) for k in range(2 * n)]
 
 
+#: What a map over texts finds, by names that no table has.
+HIT_WORDS, HIT_ITEMS, TEXT_KEY = "positions of hit words", "items that hit", "key of the text"
+#: Most texts with hits that are sent to all executors, as digests of some 200 bytes each.
+BROADCAST_TEXTS = 50_000
+
+
+def _hits(docs: DataFrame, text_col: str, index: Index | None, keep: list[str]) -> DataFrame:
+    """keep, n_words, HIT_WORDS and HIT_ITEMS of each row against a block of items; with no block, keep and n_words."""
+
+    def make():
+        def work(offsets, data):
+            w = words(offsets, data, ALNUM_LOWER)
+            n = len(offsets) - 1
+            if index is None:
+                return {"n_words": np.diff(w.first)}
+            cover, items = np.zeros(len(w.hashes) + 1, np.int64), defaultdict(set)
+            for length, at, rows in index.starts(w):
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + length, -1)
+                for d, r in set(zip(w.docs[at].tolist(), rows.tolist())):
+                    items[d].update(index.windows[length][1][r])
+            hit = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
+            ends = np.searchsorted(w.docs[hit], np.arange(n + 1))
+            hit_words = [(hit[a:b] - first).astype(np.int64) for a, b, first in zip(ends[:-1], ends[1:], w.first)]
+            return {"n_words": np.diff(w.first), HIT_WORDS: hit_words, HIT_ITEMS: [sorted(items.get(d, ())) for d in range(n)]}
+
+        return work
+
+    found = [T.StructField(HIT_WORDS, T.ArrayType(T.LongType())), T.StructField(HIT_ITEMS, T.ArrayType(T.StringType()))]
+    return map_text(docs, text_col, [T.StructField("n_words", T.LongType()), *(found if index else ())], make, keep=keep)
+
+
+def _digests(hits: DataFrame) -> DataFrame:
+    """hits with n_hit, n_items and items_sha256 in place of what they are made from."""
+    out = hits.withColumn("n_hit", F.size(HIT_WORDS).cast("long")).withColumn("n_items", F.size(HIT_ITEMS).cast("long"))
+    return out.withColumn("items_sha256", F.sha2(F.array_join(HIT_ITEMS, ","), 256)).drop(HIT_WORDS, HIT_ITEMS)
+
+
+def _hits_by_blocks(docs: DataFrame, text_col: str, blocks: list[DataFrame]) -> DataFrame:
+    """TEXT_KEY, n_hit, n_items, items_sha256 of the texts that are hit by any block.
+
+    A result is a matter of the text alone, so rows are told by its digest: of each block's pass only the texts that it
+    hits are stored, each once and without the text.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    texts, found = docs.select(F.sha2(text, 256).alias(TEXT_KEY), text.alias("text")), []
+    for block in blocks:
+        hits = _hits(texts, "text", Index([tuple(r) for r in block.collect()]), [TEXT_KEY]).where(F.size(HIT_WORDS) > 0)
+        found.append(cut(hits.drop("n_words").dropDuplicates([TEXT_KEY])))
+    every = reduce(DataFrame.unionByName, found)
+    united = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return _digests(every.groupBy(TEXT_KEY).agg(united(HIT_WORDS), united(HIT_ITEMS)))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (default: all), n_words, n_hit, n_items, items_sha256, contaminated."""
-    hit_fields = [T.StructField("n_words", T.LongType()), T.StructField("hit_words", T.BinaryType()), T.StructField("hit_items", T.ArrayType(T.StringType()))]
-    blocks, out = _blocks(benchmark, item_id_col, item_text_col), docs
-    keep = docs.columns if keep is None else keep
-    for k, block in enumerate(blocks):
-        index = Index([tuple(r) for r in block.collect()])  # at most BLOCK_BYTES, give or take an item
-
-        def make(index=index):
-            def work(offsets, data, *before):
-                w = words(offsets, data, ALNUM_LOWER)
-                n = len(offsets) - 1
-                cover, items = np.zeros(len(w.hashes) + 1, np.int64), defaultdict(set)
-                for length, at, rows in index.starts(w):
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + length, -1)
-                    for d, r in set(zip(w.docs[at].tolist(), rows.tolist())):
-                        items[d].update(index.windows[length][1][r])
-                hit = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
-                ends = np.searchsorted(w.docs[hit], np.arange(n + 1))
-                hit_words = [hit[a:b] - first for a, b, first in zip(ends[:-1], ends[1:], w.first)]
-                for d in range(n) if before else ():
-                    hit_words[d] = np.union1d(hit_words[d], np.frombuffer(before[0][d].as_buffer(), np.int64))
-                    items[d].update(before[1][d].as_py())
-                return {"n_words": np.diff(w.first), "hit_words": [x.astype(np.int64).tobytes() for x in hit_words], "hit_items": [sorted(items.get(d, ())) for d in range(n)]}
-
-            return work
-
-        carried = list(dict.fromkeys([*keep, text_col]))
-        out = map_text(out, text_col, hit_fields, make, keep=carried if k + 1 < len(blocks) else keep, also=("hit_words", "hit_items") if k else ())
-        out = cut(out) if k + 1 < len(blocks) else out
-    n_hit = (F.octet_length("hit_words") / 8).cast("long")
-    out = out.withColumn("n_hit", n_hit).withColumn("n_items", F.size("hit_items").cast("long"))
-    out = out.withColumn("items_sha256", F.sha2(F.array_join("hit_items", ","), 256))
-    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-    return out.drop("hit_words", "hit_items")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULTS]
+    blocks = _blocks(benchmark, item_id_col, item_text_col)
+    if len(blocks) == 1:
+        # At most BLOCK_BYTES, give or take an item.
+        out = _digests(_hits(docs, text_col, Index([tuple(r) for r in blocks[0].collect()]), keep))
+    else:
+        found = cut(_hits_by_blocks(docs, text_col, blocks))
+        found = F.broadcast(found) if found.count() <= BROADCAST_TEXTS else found
+        key = F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)
+        out = _hits(docs.withColumn(TEXT_KEY, key), text_col, None, [*keep, TEXT_KEY]).join(found, TEXT_KEY, "left").drop(TEXT_KEY)
+        out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_hit", "n_items")})
+        out = out.withColumn("items_sha256", F.coalesce("items_sha256", F.sha2(F.lit(""), 256)))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
