@@ -11,8 +11,13 @@ r_d = max(0, 1 + sum_k p_dk u_k), the same function of p for all documents. The
     sum over d of n_d r_d^2 / 2 - sum over k of T_k u_k + RIDGE sum over k of S0_k u_k^2 / 2,   S0 the totals at rate 1,
 
 which Newton steps with a line search bring to its minimum. Each step is one aggregate of some dozen numbers, rates are
-never stored, and a lost executor costs a reread. Where no rates meet the targets the ridge makes them those of the
-least sum of (S_k - T_k)^2 / S0_k. Totals that stay off their targets by more than TOLERANCE are warned of.
+never stored, and a lost executor costs a reread.
+
+Where no rates meet the targets, as when no document's posterior of a domain is as high as its share asked, the least
+squares of the totals would give all weight to the few documents nearest to it and none to the rest. So the domain
+asked for most beyond what the documents hold is released: its number of the dual stays 0, it keeps the tokens that
+come with the others, and these are fitted to their targets' proportions, and so on until the held ones are met.
+Released domains, and totals that stay off their targets by more than TOLERANCE, are warned of.
 
 Targets are met as asked, however often a scarce domain's documents are repeated for it; most_repeats is an opt-in
 limit, which hands what a scarce domain lacks to the others. The fit holds asked, reachable and achieved tokens.
@@ -44,7 +49,7 @@ log = logging.getLogger(__name__)
 #: Domains of the labelled table, and the weights asked for by default.
 DOMAINS = ("clean", "low_quality", "toxic")
 TARGETS = {"clean": 0.95, "low_quality": 0.02, "toxic": 0.03}
-#: Passes over the rows at most, how far a domain's total may be from its target (as a share of it), weight of the ridge.
+#: Passes over the rows at most for a set of targets, how far a domain's total may be from its target (as a share of it), weight of the ridge.
 MOST_PASSES, TOLERANCE, RIDGE = 300, 1e-4, 1e-10
 #: A usual limit for a domain's target, in times of what the documents hold of it; only where it is asked for.
 MOST_REPEATS = 4.0
@@ -132,13 +137,15 @@ class Rates:
     asked: np.ndarray  # tokens by domain
     targets: np.ndarray  # those of them that documents and most_repeats let reach
     achieved: np.ndarray
+    released: tuple[str, ...] = ()  # domains whose targets no rates meet together with the others'
 
     def gaps(self) -> np.ndarray:
         """How far each domain's total is from its target, as a share of it (of all targets where its own is 0)."""
         return np.abs(self.achieved - self.targets) / np.where(self.targets > 0, self.targets, max(self.targets.sum(), 1.0))
 
     def __str__(self) -> str:
-        return "; ".join(f"{d}: asked {w:.6g}, reachable {t:.6g}, achieved {a:.6g} tokens" for d, w, t, a in zip(DOMAINS, self.asked, self.targets, self.achieved))
+        gone = f"; out of reach and released: {', '.join(self.released)}" if self.released else ""
+        return "; ".join(f"{d}: asked {w:.6g}, reachable {'-' if d in self.released else f'{t:.6g}'}, achieved {a:.6g} tokens" for d, w, t, a in zip(DOMAINS, self.asked, self.targets, self.achieved)) + gone
 
 
 def attainable(share: np.ndarray, base: np.ndarray, most: float = MOST_REPEATS) -> np.ndarray:
@@ -157,7 +164,7 @@ def attainable(share: np.ndarray, base: np.ndarray, most: float = MOST_REPEATS)
 
 def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, most: int = MOST_PASSES, tolerance: float = TOLERANCE, most_repeats: float | None = None) -> Rates:
     """The rates' dual numbers over rows with n_tokens and p_<domain>, fitted until each domain's total is within
-    tolerance of its target or no rates come nearer; a warning tells the totals that are not, and targets out of reach."""
+    tolerance of its target, in `most` passes at most; domains out of reach are released, and a warning tells of them."""
     share = np.array([targets[d] for d in DOMAINS], float)
     share = share / share.sum()
     p, pairs = [F.col(f"p_{d}") for d in DOMAINS], [(i, j) for i in range(len(DOMAINS)) for j in range(i, len(DOMAINS))]
@@ -172,9 +179,9 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, most: int =
             second[i, j] = second[j, i] = x
         return got[0], got[1 : 1 + len(p)], second
 
-    u = np.zeros(len(p))
-    value, total, second = at(u)
-    base, asked = total, share * total.sum()
+    start = at(np.zeros(len(p)))
+    base = start[1]
+    asked = share * base.sum()
     open_domains = base > 1e-9 * max(base.sum(), 1.0)
     if most_repeats is not None:
         want = attainable(share, base, most_repeats)
@@ -182,23 +189,41 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, most: int =
         want = asked
     else:  # what no document holds nothing repeats
         want = np.where(open_domains, share, 0.0) * base.sum() / share[open_domains].sum()
-    ridge = np.where(open_domains, RIDGE * base, 1.0)
-    fit, passes = Rates(u, asked, want, total), 1
-    while passes < most and (fit.gaps()[open_domains] > tolerance).any():
-        slope = np.where(open_domains, total - want + ridge * u, 0.0)
-        if (np.abs(slope) <= 0.1 * tolerance * np.minimum(want, base)).all():
-            break  # the minimum: what is left of the gaps no rates close
-        curve = np.where(np.outer(open_domains, open_domains), second, 0.0) + np.diag(ridge)
-        scale = 1 / np.sqrt(np.diag(curve))
-        step = -scale * np.linalg.lstsq(curve * np.outer(scale, scale), scale * slope, rcond=None)[0]
-        now, length = value - want @ u + ridge @ (u * u) / 2, 1.0
-        while passes < most:
-            new, passes = u + length * step, passes + 1
-            value, total, second = at(new)
-            if value - want @ new + ridge @ (new * new) / 2 <= now + 1e-4 * length * (slope @ step) + 1e-12 * abs(now):
-                break
-            length /= 2
-        u, fit = new, Rates(new, asked, want, total)
+    passes = 1
+
+    def descended(held, wanted):
+        """The dual numbers, 0 where not held, the totals, and whether the held ones meet what is wanted."""
+        nonlocal passes
+        ridge, last = np.where(held, RIDGE * base, 1.0), passes + most
+        u, (value, total, second) = np.zeros(len(p)), start
+        met = lambda: not (Rates(u, asked, wanted, total).gaps()[held] > tolerance).any()
+        while passes < last and not met():
+            slope = np.where(held, total - wanted + ridge * u, 0.0)
+            if (np.abs(slope) <= 0.1 * tolerance * np.minimum(wanted, base)).all():
+                break  # the minimum: what is left of the gaps no rates close
+            curve = np.where(np.outer(held, held), second, 0.0) + np.diag(ridge)
+            scale = 1 / np.sqrt(np.diag(curve))
+            step = np.where(held, -scale * np.linalg.lstsq(curve * np.outer(scale, scale), scale * slope, rcond=None)[0], 0.0)
+            now, length = value - wanted @ u + ridge @ (u * u) / 2, 1.0
+            while passes < last:
+                new, passes = u + length * step, passes + 1
+                value, total, second = at(new)
+                if value - wanted @ new + ridge @ (new * new) / 2 <= now + 1e-4 * length * (slope @ step) + 1e-12 * abs(now):
+                    break
+                length /= 2
+            u = new
+        return u, total, met()
+
+    held, wanted = open_domains.copy(), want
+    u, total, met = descended(held, wanted)
+    while not met and held.any():
+        held[np.argmax(np.where(held, wanted / np.where(held, base, 1.0), -1.0))] = False
+        left = want[held].sum()
+        if not left:
+            held[:] = False
+        wanted = np.where(held, want * base[held].sum() / (left or 1.0), base)
+        u, total, met = descended(held, wanted)
+    fit = Rates(u, asked, want, total, tuple(d for d, k, o in zip(DOMAINS, held, open_domains) if o and not k))
     if (fit.gaps()[open_domains] > tolerance).any() or (np.abs(want - asked) > tolerance * asked).any():
         warnings.warn(f"mixing: targets not met after {passes} passes. {fit}", stacklevel=2)
     return fit

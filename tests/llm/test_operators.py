@@ -119,6 +119,18 @@ def test_mixing_tells_of_targets_out_of_reach(spark):
     assert np.abs(fit.achieved - [20, 10, 10]).max() < 1e-3 and fit.gaps().max() > 1
 
 
+def test_mixing_keeps_documents_where_a_domain_is_out_of_reach(spark):
+    g = np.random.default_rng(4)
+    low, toxic = g.uniform(1e-6, 0.0149, 500), np.where(np.arange(500) % 12 == 0, 0.9, g.uniform(0.0, 0.03, 500))  # asked: 2 % low quality
+    rows = spark.createDataFrame([(int(n), float(1 - a - b), float(a), float(b)) for n, a, b in zip(g.integers(50, 500, 500), low, toxic)], ["n_tokens", *[f"p_{d}" for d in mixing.DOMAINS]])
+    with pytest.warns(UserWarning, match="out of reach and released: low_quality"):
+        fit = mixing.fit_rates(rows)
+    out = rows.withColumn("rate", mixing.rate(fit.duals)).toPandas()
+    tokens = {d: (out["n_tokens"] * out["rate"] * out[f"p_{d}"]).sum() for d in mixing.DOMAINS}
+    assert abs(tokens["toxic"] / tokens["clean"] / (0.03 / 0.95) - 1) <= 1e-3
+    assert (out.loc[out["p_clean"] > 0.5, "rate"] > 0.5).all() and out["rate"].max() < 2
+
+
 def test_mixing_meets_targets_of_scarce_domains(spark):
     columns = ["n_tokens", *[f"p_{d}" for d in mixing.DOMAINS]]
     rows = spark.createDataFrame([(9600, 1.0, 0.0, 0.0), (100, 0.0, 1.0, 0.0), (10, 0.0, 1.0, 0.0), (290, 0.0, 0.0, 1.0)], columns)
