@@ -33,12 +33,25 @@ def select_messages(messages: DataFrame, params: SensoryParams = SensoryParams()
     return rows.where(F.col("role").isin("user", "system")) if params.messages_use == "user_only" else rows
 
 
+def _kahan(values: Iterator[float]) -> float:
+    """The sum by Kahan's steps, as SQL's fsum takes them; sum() corrects otherwise and may differ in the last bit."""
+    total = error = 0.0
+    for x in values:
+        new = total + (x - error)
+        error = (new - total) - (x - error)
+        total = new
+    return total
+
+
 def sentence_weights(sentences: list[str]) -> list[float]:
-    """Sum over a sentence's terms of their share of it, times ln((n + 1) / (df + 1)) + 1; 0 without terms."""
+    """Kahan sum over a sentence's terms of their share of it, times ln((n + 1) / (df + 1)) + 1; 0 without terms.
+
+    Weights may be equal but for the last bit, so what is summed first, and how, decides which sentence stays.
+    """
     counts = [Counter(_WORD.findall(s.lower())) for s in sentences]
     df = Counter(t for c in counts for t in c)
     n = len(sentences)
-    return [sum(k / c.total() * (math.log((n + 1) / (df[t] + 1)) + 1) for t, k in c.items()) for c in counts]
+    return [_kahan(k / c.total() * (math.log((n + 1) / (df[t] + 1)) + 1) for t, k in c.items()) for c in counts]
 
 
 def compress(text: str | None, limit: int) -> str:

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,19 @@ def test_compress():
     assert " ... " in ingest.compress("x" * 300, 100)
 
 
+def test_compress_messages_breaks_ties_as_its_sql(spark, tmp_path):
+    text = (
+        "Erhe tith thlyhe aneare ntonnt en aningre ththshnt heth atorst ndtier. Erthin andountin it annd nderwh ernt attionst reshwhnd thstea eroren"
+        " bleenor thha nd of oner oringin ndsh by reanwh of reth. To and of heorea and on ertier, anshenou ster ly thoren as, onnt, the ingou thatinat"
+        " esha as to the inantiesnt. Thre the anat thin nd th the atesble."
+    )  # the weights of the sentences between differ by how the sum is corrected
+    spark.createDataFrame([(1, 0, text)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got = [tuple(r) for r in catalogue.compress_messages(spark, str(tmp_path)).select("conv_id", "turn", "content").collect()]
+    assert got == c.execute(catalogue.ORACLE_SQL["compress_messages"]).fetchall()
+
+
 def test_topics():
     words = lambda w: " ".join([w] * 60)
     p = SensoryParams(topic_token_threshold=64)
