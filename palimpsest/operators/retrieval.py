@@ -94,16 +94,19 @@ def keyword_candidates(memories: DataFrame, queries: DataFrame, k: int) -> DataF
     """query_id and the columns of memories with text_score. queries: query_id, user_id, terms (array).
 
     A memory matches if it has all terms; no term matches nothing. The score is how densely they occur, below 1:
-    f / (f + 1) summed over terms and divided by their number. It stands for the store's full-text rank, whose numbers
-    depend on its own stemmer and weights. Each text is split once, and only wanted words become rows.
+    f / (f + 1) summed over terms, in their order, and divided by their number; ranks go by these very numbers, so scores
+    that differ in the last bit are no tie. It stands for the store's full-text rank, whose numbers depend on its own
+    stemmer and weights. Each text is split once, and only wanted words become rows.
     """
     words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))
-    asked = queries.select("query_id", "user_id", F.size("terms").alias("n"), F.explode("terms").alias("word"))
+    asked = queries.select("query_id", "user_id", F.size("terms").alias("n"), F.posexplode("terms").alias("at", "word"))
     wanted = asked.select("user_id", "word").distinct()
     counts = memories.select("user_id", "id", words.alias("word")).join(wanted, ["user_id", "word"], "left_semi").groupBy("user_id", "id", "word").agg(F.count("*").alias("f"))
-    rows = counts.join(asked, ["user_id", "word"]).groupBy("query_id", "user_id", "id", "n").agg(F.count("*").alias("found"), F.sum(F.col("f") / (F.col("f") + 1)).alias("s"))
-    rows = rows.where("found = n").select("query_id", "user_id", "id", (F.col("s") / F.col("n")).alias("text_score"))
-    best = _top(rows, ["query_id"], k, F.desc(F.round("text_score", 9)), F.col("id"))  # rounded: sums come in any order
+    part = F.struct("at", (F.col("f") / (F.col("f") + 1)).alias("s"))
+    rows = counts.join(asked, ["user_id", "word"]).groupBy("query_id", "user_id", "id", "n").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    total = F.aggregate("parts", F.lit(0.0), lambda sum_, x: sum_ + x["s"])
+    rows = rows.where("size(parts) = n").select("query_id", "user_id", "id", (total / F.col("n")).alias("text_score"))
+    best = _top(rows, ["query_id"], k, F.desc("text_score"), F.col("id"))
     return memories.join(best, ["user_id", "id"])
 
 

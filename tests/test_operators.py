@@ -35,6 +35,18 @@ def test_diverse_order_prefers_unlike_texts():
     assert retrieval.distinct_order(["a b", "b a", "c", "", ""], 0.85) == [0, 2, 3]
 
 
+def test_keyword_topk_ranks_by_whole_scores_as_its_sql(spark, tmp_path):
+    texts = {i: "red red tea tea" for i in range(1, 6)} | {9: "red" + 5 * " tea", 12: "red"}  # (1/2 + 5/6) / 2 is above (2/3 + 2/3) / 2 by the last bit
+    spark.createDataFrame([(i, "src1", t, "en") for i, t in texts.items()], "doc_id long, source string, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "Red tea!")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in catalogue.keyword_topk(spark, str(tmp_path)).select("query_id", "id", "text_score").collect())
+    assert [i for _, i, _ in got] == [1, 2, 3, 4, 9]
+    assert got == sorted(c.execute(catalogue.ORACLE_SQL["keyword_topk"]).fetchall())
+
+
 def test_similar_pairs_equal_brute_force(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))) for _ in range(60)]
