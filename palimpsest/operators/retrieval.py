@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as txt
-from ..functions.sets import jaccard
 from ..functions.time import decay
 from ..functions.vector import cosine
 from ..params import SearchParams
@@ -194,36 +193,149 @@ def dedup_content(rows: DataFrame, keys: list[str], order: list[str], params: Se
     return _per_query(rows, keys, order, lambda p: distinct_order(p[text].tolist(), params.content_similarity))
 
 
+def _token_sets(rows: DataFrame, group: str, text: str, *also: str) -> DataFrame:
+    """id, grp, `also`, h (hashes of the distinct tokens, in order) and k, a hash of both grp and h: rows of one k have equal sets."""
+    own = rows.select(F.col("id"), F.col(group).alias("grp"), *also, F.array_sort(F.transform(txt.tokens(F.col(text)), lambda t: F.xxhash64(t))).alias("h"))
+    return own.withColumn("k", F.xxhash64("grp", "h"))
+
+
 def distinct_contents(rows: DataFrame, group: str, cut: Callable[[DataFrame], DataFrame], params: SearchParams = SearchParams(), text: str = "text") -> DataFrame:
     """grp and id of the rows (id, group, text) of whole groups that are like no earlier one kept, in order of id.
 
-    dedup_content without gathering a group: equal token sets are one, similar_pairs finds the rest, and like_earlier what goes. `cut` ends the lineage of each round.
+    dedup_content without gathering a group: equal token sets are one, _near_sets finds the rest, and like_earlier what goes. `cut` ends the lineage of each round.
     """
-    sets = F.sha2(F.array_join(F.array_sort(txt.tokens(F.col(text))), " "), 256)
-    first = rows.groupBy(F.col(group).alias("grp"), sets.alias("_set")).agg(F.min(F.struct(F.col("id"), F.col(text).alias("text"))).alias("_first"))
-    own = cut(first.select("grp", "_first.id", "_first.text"))
-    gone = like_earlier(similar_pairs(own, params.content_similarity, "grp"), cut)
-    return own.select("grp", "id").join(gone, "id", "left_anti").select("grp", "id")
+    own = cut(_sketched(rows, group, text))
+    first = own.groupBy("grp", "k").agg(F.min("id").alias("id"))
+    a, b = first.select(F.col("k").alias("ka"), F.col("id").alias("a")), first.select(F.col("k").alias("kb"), F.col("id").alias("b"))
+    near = _near_sets(rows, own, params.content_similarity, group, text, cut).join(a, "ka").join(b, "kb")
+    gone = like_earlier(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), cut)
+    return first.select("grp", "id").join(gone, "id", "left_anti").select("grp", "id")
 
 
-def similar_pairs(rows: DataFrame, threshold: float, group: str, text: str = "text") -> DataFrame:
+def similar_pairs(rows: DataFrame, threshold: float, group: str, text: str = "text", cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Pairs a < b of a group whose token sets have a Jaccard index of threshold or more.
 
-    A prefix filter finds candidates: sets this alike share one of the first few of their tokens, rarest first. So
-    tokens that all texts have bring no pairs together.
+    Equal sets are one until the end; _near_sets finds the pairs of unlike ones. `cut` stores what is read again, as keys and sketches of the rows, no texts.
     """
-    own = rows.select(F.col("id"), F.col(group).alias("grp"), txt.tokens(F.col(text)).alias("tokens"))
-    token = own.select("id", "grp", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    df = token.groupBy("grp", "token").agg(F.count("*").alias("df"))
-    ranked = token.join(df, ["grp", "token"]).withColumn("rank", F.row_number().over(Window.partitionBy("grp", "id").orderBy("df", "token")))
-    prefix = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).select("id", "grp", "token", "n")
-    a, b = prefix.toDF("a", "grp", "token", "na"), prefix.toDF("b", "grp", "token", "nb")
-    near = a.join(b, ["grp", "token"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("grp", "a", "b").distinct()
-    sets = own.select("id", "grp", "tokens")
-    both = near.join(sets.toDF("a", "grp", "ta"), ["grp", "a"]).join(sets.toDF("b", "grp", "tb"), ["grp", "b"])
-    empty = own.where(F.size("tokens") == 0).select("id", "grp")  # empty sets are alike: linked in order of id, not all with all
+    rows = rows.where(F.col(group).isNotNull())
+    own = cut(_sketched(rows, group, text))
+    full = own.where("n > 0")
+    a, b = full.select(F.col("k").alias("ka"), "grp", F.col("id").alias("a")), full.select(F.col("k").alias("kb"), F.col("id").alias("b"))
+    near = _near_sets(rows, own, threshold, group, text, cut).join(a, "ka").join(b, "kb")
+    near = near.select("grp", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
+    equal = a.join(b, F.col("ka") == F.col("kb")).where("a < b").select("grp", "a", "b", F.lit(1.0).alias("similarity"))
+    empty = own.where("n = 0").select("id", "grp")  # empty sets are alike: linked in order of id, not all with all
     chain = empty.withColumn("b", F.lead("id").over(Window.partitionBy("grp").orderBy("id"))).where("b is not null").select("grp", F.col("id").alias("a"), "b", F.lit(1.0).alias("similarity"))
-    return both.select("grp", "a", "b", jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= threshold).unionByName(chain)
+    return near.unionByName(equal).unionByName(chain)
+
+
+#: Tokens are counted in so many buckets; keys that are sent to all executors at most; sets compared in a task, roughly; bits of a set's sketch.
+TOKEN_BUCKETS, MOST_SENT, SETS_A_TASK, SKETCH_BITS = 1 << 20, 500_000, 500, 1024
+
+
+def _flat(h):
+    """(number of values of each row, all values) of an Arrow list column."""
+    import numpy as np
+
+    ends = h.offsets.to_numpy().astype(np.int64)
+    return np.diff(ends), h.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+
+
+def _sketched(rows: DataFrame, group: str, text: str) -> DataFrame:
+    """id, grp, k (_token_sets), n (size of the set) and its sketch s: the parity of its tokens in each of SKETCH_BITS places."""
+    import numpy as np
+    import pyarrow as pa
+
+    own = _token_sets(rows, group, text)
+
+    def run(batches):
+        for batch in batches:
+            n, flat = _flat(batch.column(3))
+            ends = np.concatenate(([0], np.cumsum(n)))
+            for i in range(0, len(n), 1000):
+                m = n[i : i + 1000]
+                place = np.repeat(np.arange(len(m)), m) * SKETCH_BITS + ((flat[ends[i] : ends[i] + m.sum()] >> 24) & (SKETCH_BITS - 1))
+                odd = np.bincount(place, minlength=len(m) * SKETCH_BITS).reshape(-1, SKETCH_BITS).astype(np.uint8) & 1
+                s = pa.array([bits.tobytes() for bits in np.packbits(odd, axis=1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(i, 1000) for c in range(3)], pa.array(m), s], names=["id", "grp", "k", "n", "s"])
+
+    types = {f.name: f.dataType.simpleString() for f in own.schema.fields}
+    return own.select("id", "grp", "k", "h").mapInArrow(run, f"id {types['id']}, grp {types['grp']}, k long, n long, s binary")
+
+
+def _near_sets(rows: DataFrame, own: DataFrame, threshold: float, group: str, text: str, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """ka, kb, similarity: the pairs of unlike nonempty sets of rows (own: _sketched) of a group with a Jaccard index of threshold or more.
+
+    A prefix filter finds candidates: of sets this alike, in any one order of all tokens, the first few of each share one,
+    and the first that they share leaves room for the rest. The order is by how often tokens occur, counted in buckets,
+    rarest first, so tokens that all texts have bring no pairs together. Each text makes its own prefix; only that is
+    shuffled, as numbers. Two sets have at least as many tokens apart as their sketches have bits apart, which ends most
+    candidates before any set is moved.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    bucket = F.col("t").bitwiseAND(F.lit(TOKEN_BUCKETS - 1))
+    sets = _token_sets(rows, group, text)
+    often = sets.select(F.explode_outer("h").alias("t")).groupBy(bucket.alias("at")).agg(F.count("*").alias("f")).where("f > 1 and at is not null").toPandas()  # outer: no filter that splits the text again
+    rank = np.zeros(TOKEN_BUCKETS, np.uint8)
+    rank[often["at"].to_numpy(np.int64)] = np.minimum(255, 8 * np.log2(often["f"].to_numpy(float)))
+    names = ["t", "k", "n", "pos"]
+
+    def prefixes(batches):
+        for batch in batches:
+            k, g = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            n, flat = _flat(batch.column(2))
+            doc = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((flat, rank[flat & (TOKEN_BUCKETS - 1)], doc))
+            pos = np.arange(len(flat)) - (np.cumsum(n) - n)[doc]
+            at = np.flatnonzero(pos <= (n - np.ceil(threshold * n - 1e-9))[doc])
+            d = doc[at]
+            t = flat[order[at]] ^ (g[d] * 0x2545F4914F6CDD1D)  # of its group
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (t, k[d], n[d], pos[at])], names=names)
+
+    few = sets.select("k", F.xxhash64("grp").alias("g"), "h").mapInArrow(prefixes, "t long, k long, n long, pos long")
+    few = few.repartition("t").distinct()
+    a, b = few.toDF("t", "ka", "na", "pa"), few.toDF("t", "kb", "nb", "pb")
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
+    pairs = cut(a.join(b, "t").where((F.col("ka") < F.col("kb")) & room).select("ka", "kb").distinct())
+
+    def possible(s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        s = s.drop_duplicates("k").set_index("k")
+        a, b = s.index.get_indexer(p["ka"]), s.index.get_indexer(p["kb"])
+        bits, n = np.frombuffer(b"".join(s["s"]), np.uint64).reshape(len(s), -1), s["n"].to_numpy()
+        ok = np.zeros(len(p), bool)
+        for i in range(0, len(p), 10_000):
+            x, y = a[i : i + 10_000], b[i : i + 10_000]
+            ok[i : i + 10_000] = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= (1 - threshold) / (1 + threshold) * (n[x] + n[y]) + 1e-9
+        return p.loc[ok, ["ka", "kb"]]
+
+    def compare(s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        of = dict(zip(s["k"], s["h"]))
+        both = np.array([len(np.intersect1d(of[x], of[y], assume_unique=True)) for x, y in zip(p["ka"], p["kb"])], np.int64)
+        every = np.array([len(of[x]) + len(of[y]) for x, y in zip(p["ka"], p["kb"])], np.int64) - both
+        near = p[["ka", "kb"]].assign(similarity=both / every)
+        return near[near["similarity"] >= threshold]
+
+    pairs = cut(_held(pairs, own, lambda wanted: own.join(wanted, "id").select("hub", "k", "n", "s"), cut).applyInPandas(possible, "ka long, kb long"))
+    whole = lambda wanted: _token_sets(rows.join(wanted, "id"), group, text, "hub").select("hub", "k", "h")
+    return cut(_held(pairs, own, whole, cut).applyInPandas(compare, "ka long, kb long, similarity double"))
+
+
+def _held(pairs: DataFrame, own: DataFrame, sets: Callable[[DataFrame], DataFrame], cut: Callable[[DataFrame], DataFrame]):
+    """What sets gives (hub, k, ...) of the rows of the ends of pairs (ka, kb), and the pairs, brought together.
+
+    A set goes once to each hub that it has pairs with, not to each pair: a pair's hub is the least first end of the
+    pairs in which its own first end is the second, so sets that are all alike share one.
+    """
+    least = pairs.groupBy(F.col("kb").alias("ka")).agg(F.min("ka").alias("hub"))
+    pairs = cut(pairs.join(least, "ka", "left").select(F.coalesce("hub", "ka").alias("hub"), "ka", "kb"))
+    wanted = pairs.select("hub", F.col("ka").alias("k")).unionByName(pairs.select("hub", F.col("kb").alias("k"))).distinct()
+    wanted = cut(wanted.join(own.groupBy("k").agg(F.min("id").alias("id")), "k").select("id", "hub"))
+    count = wanted.count()
+    task = F.pmod(F.xxhash64("hub"), F.lit(count // SETS_A_TASK + 1)).alias("task")
+    held = sets(F.broadcast(wanted) if count <= MOST_SENT else wanted)
+    return held.select(task, *held.columns[1:]).groupBy("task").cogroup(pairs.select(task, "ka", "kb").groupBy("task"))
 
 
 def compact(memories: list[DataFrame], query: list[float], k: int, user_id=None) -> DataFrame:

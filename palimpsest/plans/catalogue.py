@@ -235,7 +235,7 @@ p AS (SELECT a.source AS grp, a.doc_id AS a, b.doc_id AS b, len(list_intersect(a
 SELECT grp, a, b, round(c / (n - c), 6) AS similarity FROM p WHERE c / (n - c) >= 0.85""")
 def jaccard_pairs(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "text")
-    return retrieval.similar_pairs(rows, 0.85, "source").select("grp", "a", "b", F.round("similarity", 6).alias("similarity"))
+    return retrieval.similar_pairs(rows, 0.85, "source", cut=_cut(spark)).select("grp", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 _PAIRS = f"""p AS (SELECT e.label AS grp, e.vec_id AS a, q.vec_id AS b, {_COSINE} AS similarity FROM embeddings e JOIN embeddings q ON e.label = q.label AND e.vec_id < q.vec_id WHERE {_COSINE} >= 0.3)"""
