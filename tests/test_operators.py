@@ -70,6 +70,18 @@ def test_similar_pairs_shuffle_less_than_the_texts(spark):
     assert got == {(i, 300 + i) for i in range(9)} and 0 < written() - before < sum(map(len, texts)) / 2
 
 
+def test_distinct_contents_shuffle_less_than_the_texts(spark):
+    rng = random.Random(7)
+    texts = [" ".join(f"{w:030x}" for w in rng.sample(range(20000), 300)) for _ in range(300)]
+    texts += [t + " more" for t in texts[:9]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("g", F.lit("g"))
+    written = lambda: spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    got = {r["id"] for r in retrieval.distinct_contents(rows, "g", lambda df: df.checkpoint()).collect()}
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    assert got == set(range(300)) and 0 < written() - before < sum(map(len, texts)) / 2
+
+
 def test_trim_equals_removal_one_by_one(spark):
     rng = random.Random(1)
     rows = [(s, t, rng.choice(["user", "system", "assistant"]), "x" * rng.randint(1, 60)) for s in range(60) for t in range(rng.randint(1, 7))]
