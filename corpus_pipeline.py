@@ -15,6 +15,9 @@ from palimpsest.llm.pii import pseudonymise
 from palimpsest.llm.quality_rules import fit_rules, keep_good
 from palimpsest.llm.queries import PII_KEY
 
+#: A mix is to be worth this share of the tokens at least, as far as no few documents repeated hundreds of times are to stand for all.
+LEAST_EFFECTIVE = 0.1
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the rules are fitted on the labelled documents of the table.
@@ -46,10 +49,11 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with the copies that bring the domains' tokens to their target weights; none without a copy.
 
+    A scarce domain's target that would leave a corpus worth less than LEAST_EFFECTIVE of its tokens is given up, with a warning.
     Rows that share an id are drawn alike; columns of documents with the names of results are replaced.
     """
     model = fit_domains(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mix(docs, model, TARGETS).where("n_copies > 0")
+    return mix(docs, model, TARGETS, least_effective=LEAST_EFFECTIVE).where("n_copies > 0")
 
 
 STAGES = [("quality rules", quality), ("near-duplicates", near_dup), ("contamination", contamination), ("pii", pii), ("mixing", mixing)]

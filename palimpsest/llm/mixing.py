@@ -19,6 +19,10 @@ asked for most beyond what the documents hold is released: its number of the dua
 come with the others, and these are fitted to their targets' proportions, and so on until the held ones are met.
 Released domains, and totals that stay off their targets by more than TOLERANCE, are warned of.
 
+A target that is only just in reach has the same outcome by other means: the few documents at the edge get rates of
+hundreds, all others none. Where that is no mix of use, least_effective tells which share of the tokens a fit must be worth
+(Kish's effective size, (sum n r)^2 / sum n r^2); below it, a domain asked for over MOST_REPEATS times is released, too.
+
 Targets are met as asked, however often a scarce domain's documents are repeated for it; most_repeats is an opt-in
 limit, which hands what a scarce domain lacks to the others. The fit holds asked, reachable and achieved tokens.
 
@@ -139,6 +143,8 @@ class Rates:
     achieved: np.ndarray
     released: tuple[str, ...] = ()  # domains whose targets no rates meet together with the others'
 
+    effective: float = 1.0  # Kish's effective size, as a share of the tokens
+
     def gaps(self) -> np.ndarray:
         """How far each domain's total is from its target, as a share of it (of all targets where its own is 0)."""
         return np.abs(self.achieved - self.targets) / np.where(self.targets > 0, self.targets, max(self.targets.sum(), 1.0))
@@ -162,9 +168,10 @@ def attainable(share: np.ndarray, base: np.ndarray, most: float = MOST_REPEATS)
     return np.minimum(want, most * base)
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, most: int = MOST_PASSES, tolerance: float = TOLERANCE, most_repeats: float | None = None) -> Rates:
+def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, most: int = MOST_PASSES, tolerance: float = TOLERANCE, most_repeats: float | None = None, least_effective: float = 0.0) -> Rates:
     """The rates' dual numbers over rows with n_tokens and p_<domain>, fitted until each domain's total is within
-    tolerance of its target, in `most` passes at most; domains out of reach are released, and a warning tells of them."""
+    tolerance of its target, in `most` passes at most; domains out of reach are released, and a warning tells of them.
+    So are scarce domains as long as the rates are worth less than the share least_effective of the tokens."""
     share = np.array([targets[d] for d in DOMAINS], float)
     share = share / share.sum()
     p, pairs = [F.col(f"p_{d}") for d in DOMAINS], [(i, j) for i in range(len(DOMAINS)) for j in range(i, len(DOMAINS))]
@@ -192,7 +199,7 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, most: int =
     passes = 1
 
     def descended(held, wanted):
-        """The dual numbers, 0 where not held, the totals, and whether the held ones meet what is wanted."""
+        """The dual numbers, 0 where not held, the totals, whether the held ones meet what is wanted, and the effective size."""
         nonlocal passes
         ridge, last = np.where(held, RIDGE * base, 1.0), passes + most
         u, (value, total, second) = np.zeros(len(p)), start
@@ -212,31 +219,31 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, most: int =
                     break
                 length /= 2
             u = new
-        return u, total, met()
+        return u, total, met(), total.sum() ** 2 / max(2 * value * base.sum(), 1e-300)
 
     held, wanted = open_domains.copy(), want
-    u, total, met = descended(held, wanted)
-    while not met and held.any():
+    u, total, met, effective = descended(held, wanted)
+    while (not met or effective < least_effective and (held & (wanted > MOST_REPEATS * base)).any()) and held.any():
         held[np.argmax(np.where(held, wanted / np.where(held, base, 1.0), -1.0))] = False
         left = want[held].sum()
         if not left:
             held[:] = False
         wanted = np.where(held, want * base[held].sum() / (left or 1.0), base)
-        u, total, met = descended(held, wanted)
-    fit = Rates(u, asked, want, total, tuple(d for d, k, o in zip(DOMAINS, held, open_domains) if o and not k))
+        u, total, met, effective = descended(held, wanted)
+    fit = Rates(u, asked, want, total, tuple(d for d, k, o in zip(DOMAINS, held, open_domains) if o and not k), float(effective))
     if (fit.gaps()[open_domains] > tolerance).any() or (np.abs(want - asked) > tolerance * asked).any():
         warnings.warn(f"mixing: targets not met after {passes} passes. {fit}", stacklevel=2)
     return fit
 
 
-def mix(docs: DataFrame, model: Softmax, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, most_repeats: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, model: Softmax, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, most_repeats: float | None = None, least_effective: float = 0.0) -> DataFrame:
     """The columns `keep` of docs (default: all), n_tokens, p_<domain>, rate, and n_copies, whose expectation is the rate.
 
     n_copies is the rate's whole part, and one more where a hash of the id falls below the rest.
     """
     keep = docs.columns if keep is None else keep
     rows = cut(with_posteriors(docs, model, text_col, keep=[] if text_col in keep else keep))
-    fit = fit_rates(rows, targets, most_repeats=most_repeats)
+    fit = fit_rates(rows, targets, most_repeats=most_repeats, least_effective=least_effective)
     log.info("mixing: %s", fit)
     out = rows if text_col not in keep else with_posteriors(docs, model, text_col, keep=keep)
     chance = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit("mixing")), F.lit(1 << 32)) / float(1 << 32)

@@ -131,6 +131,21 @@ def test_mixing_keeps_documents_where_a_domain_is_out_of_reach(spark):
     assert (out.loc[out["p_clean"] > 0.5, "rate"] > 0.5).all() and out["rate"].max() < 2
 
 
+def test_mixing_releases_a_domain_that_few_documents_would_stand_for(spark):
+    g = np.random.default_rng(5)
+    low, toxic = g.uniform(1e-6, 0.0015, 2000), np.where(np.arange(2000) % 12 == 0, 0.6, g.uniform(0.0, 0.05, 2000))
+    low[:4] = 0.024  # 2 % low quality is in reach of four documents
+    toxic[:4] = 0.03
+    rows = spark.createDataFrame([(int(n), float(1 - a - b), float(a), float(b)) for n, a, b in zip(g.integers(50, 500, 2000), low, toxic)], ["n_tokens", *[f"p_{d}" for d in mixing.DOMAINS]])
+    asked = mixing.fit_rates(rows)
+    assert not asked.released and asked.effective < 0.01 and (asked.gaps() <= mixing.TOLERANCE).all()
+    with pytest.warns(UserWarning, match="out of reach and released: low_quality"):
+        fit = mixing.fit_rates(rows, least_effective=0.1)
+    out = rows.withColumn("rate", mixing.rate(fit.duals)).toPandas()
+    assert fit.released == ("low_quality",) and fit.effective > 0.5 and out["rate"].max() < 4 and (out.loc[out["p_clean"] > 0.9, "rate"] > 0).all()
+    assert abs(fit.effective - (out["n_tokens"] * out["rate"]).sum() ** 2 / (out["n_tokens"] * out["rate"] ** 2).sum() / out["n_tokens"].sum()) < 1e-9
+
+
 def test_mixing_meets_targets_of_scarce_domains(spark):
     columns = ["n_tokens", *[f"p_{d}" for d in mixing.DOMAINS]]
     rows = spark.createDataFrame([(9600, 1.0, 0.0, 0.0), (100, 0.0, 1.0, 0.0), (10, 0.0, 1.0, 0.0), (290, 0.0, 0.0, 1.0)], columns)
