@@ -277,9 +277,10 @@ def _near_sets(rows: DataFrame, own: DataFrame, threshold: float, group: str, te
 
     bucket = F.col("t").bitwiseAND(F.lit(TOKEN_BUCKETS - 1))
     sets = _token_sets(rows, group, text)
-    often = sets.select(F.explode_outer("h").alias("t")).groupBy(bucket.alias("at")).agg(F.count("*").alias("f")).where("f > 1 and at is not null").toPandas()  # outer: no filter that splits the text again
+    often = sets.select(F.explode_outer("h").alias("t")).groupBy(bucket.alias("at")).agg(F.count("*").alias("f")).where("f > 1 and at is not null")  # outer: no filter that splits the text again
+    often = often.select(F.col("at").cast("int"), F.least(F.lit(127), (4 * F.log2("f"))).cast("byte").alias("rank")).toArrow()  # a million buckets: no rows in the driver
     rank = np.zeros(TOKEN_BUCKETS, np.uint8)
-    rank[often["at"].to_numpy(np.int64)] = np.minimum(255, 8 * np.log2(often["f"].to_numpy(float)))
+    rank[often["at"].to_numpy()] = often["rank"].to_numpy()
     names = ["t", "k", "n", "pos"]
 
     def prefixes(batches):

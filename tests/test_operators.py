@@ -70,6 +70,15 @@ def test_similar_pairs_shuffle_less_than_the_texts(spark):
     assert got == {(i, 300 + i) for i in range(9)} and 0 < written() - before < sum(map(len, texts)) / 2
 
 
+def test_token_counts_reach_the_driver_as_no_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g h"), (3, "x y z"), (4, "")], "id long, text string").withColumn("g", F.lit("g"))
+    frame = type(rows)
+    plain = frame.toPandas
+    monkeypatch.setattr(frame, "toPandas", lambda df: pytest.fail("a row for each bucket of tokens") if "f" in df.columns else plain(df))
+    kept = retrieval.distinct_contents(rows, "g", lambda df: df.checkpoint())
+    assert {r["id"] for r in kept.collect()} == {1, 3, 4}
+
+
 def test_distinct_contents_shuffle_less_than_the_texts(spark):
     rng = random.Random(7)
     texts = [" ".join(f"{w:030x}" for w in rng.sample(range(20000), 300)) for _ in range(300)]
